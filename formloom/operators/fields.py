@@ -156,6 +156,9 @@ RULE_PARAMS = (
 )
 
 
+RULE = f"struct<rule_id:string,rule_type:string,params:{RULE_PARAMS},message:string,severity:string>"
+
+
 def rule_params(**given: Column) -> Column:
     kinds = {"formats": "array<string>", "allowed": "array<string>", "min": "int", "max": "int",
              "pattern": "string", "columns": "array<string>", "required_columns": "array<string>"}
@@ -171,7 +174,7 @@ def rules_of_field(f: str = "") -> Column:
         return F.struct(
             F.concat(name, F.lit(f":{rule_type}")).alias("rule_id"), F.lit(rule_type).alias("rule_type"),
             params.alias("params"), message.alias("message"), F.lit(severity).alias("severity"),
-        )
+        ).cast(RULE)
 
     cols = F.col(f + "columns")
     return F.array_compact(F.array(
