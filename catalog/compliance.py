@@ -45,9 +45,17 @@ def received_forms(spark, d):
     return docs.withColumn("_m", month).withColumn("elements", kept).drop("_m")
 
 
+_published: dict = {}
+
+
 def template_of_forms(spark, d):
-    a = P.analyze(C.forms(spark, d))
-    return stage(K.template_specs(a.representatives, a.classified, a.fields), "templates")
+    """The forms' templates, derived once per session and input and then read
+    from where they were staged, the way a published template is."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _published:
+        a = P.analyze(C.forms(spark, d))
+        _published[key] = stage(K.template_specs(a.representatives, a.classified, a.fields), "templates")
+    return _published[key]
 
 
 def _reports(spark, d):

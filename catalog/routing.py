@@ -182,12 +182,13 @@ _SV = f"""{_B}, v AS (
 _TOK = lambda x: f"list_distinct(list_filter(string_split(replace(lower({x}), ' ', '_'), '_'), lambda w: w NOT IN ('', 'the', 'a', 'an', 'and', 'or')))"
 
 ORACLES = {
-    # The terms sentence shares every topic word with the terms field; the clause shares none.
-    "routed_texts": f"""WITH {_B} SELECT k::VARCHAR AS request_id, u.field_name, u.value, CASE WHEN u.field_name = 'terms_note' THEN 0.45 ELSE 0.7 END AS confidence, false AS ambiguous,
+    # Topic words of the terms field: terms, note, goods, remain, property, seller, claims.  The
+    # sentence's first five words cover four of the seven, the heading "Terms" one, the clause none.
+    "routed_texts": f"""WITH {_B} SELECT k::VARCHAR AS request_id, u.field_name, u.value, CASE WHEN u.field_name = 'terms_note' THEN 0.45 ELSE 0.7 END::DOUBLE AS confidence, false AS ambiguous,
         CASE WHEN u.field_name = 'terms_note' THEN 'Low-confidence: matched to this field by keyword overlap.' ELSE '' END AS note
         FROM base, LATERAL (SELECT unnest([{{'field_name': 'order_number', 'value': k::VARCHAR}}, {{'field_name': 'customer_name', 'value': c_name}}, {{'field_name': 'order_date', 'value': day}},
-        {{'field_name': 'status', 'value': st}}, {{'field_name': 'total_due', 'value': '$' || total}}, {{'field_name': 'terms_note', 'value': CASE WHEN true THEN 'Terms {S.FORM_TERMS}' END}}]) AS u)""",
-    "unmapped_lines": f"WITH {_B} SELECT 'Line Items' AS line, count(*) AS n FROM base UNION ALL SELECT '{S.FORM_CLAUSE}', count(*) FROM base WHERE big",
+        {{'field_name': 'status', 'value': st}}, {{'field_name': 'total_due', 'value': '$' || total}}, {{'field_name': 'terms_note', 'value': '{S.FORM_TERMS}'}}]) AS u)""",
+    "unmapped_lines": f"WITH {_B} SELECT unnest(['Line Items', 'Terms']) AS line, count(*) AS n FROM base UNION ALL SELECT '{S.FORM_CLAUSE}', count(*) FROM base WHERE big",
     "routed_documents": f"""WITH {_B} SELECT k::VARCHAR AS request_id, 'line_items' AS field_name, 0.6::DOUBLE AS confidence, n AS n_rows, md5(coalesce(array_to_string(cells, ';'), '')) AS rows_md5 FROM base""",
     "structural_values": f"WITH {_SV} SELECT k::VARCHAR AS request_id, field_name, value, 0.9::DOUBLE AS confidence FROM v",
     "route_coverage": f"WITH {_SV}, c AS (SELECT base.k, count(v.k) AS n FROM base LEFT JOIN v ON v.k = base.k GROUP BY 1) SELECT k::VARCHAR AS request_id, round(n / 6, 4) AS coverage, n AS filled, 6::BIGINT AS required, n / 6 < 0.5 AS mismatch FROM c",

@@ -59,7 +59,8 @@ def _list_udf(autojunk: bool):
             ]
         )
 
-    return pairs
+    # Kept apart from the expressions around it: a UDF cannot run inside a lambda.
+    return pairs.asNondeterministic()
 
 
 def similarity(a: Column | str, b: Column | str, *, autojunk: bool = True) -> Column:

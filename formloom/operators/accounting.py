@@ -34,7 +34,9 @@ def price_lookup(usage: DataFrame, price_list: DataFrame) -> DataFrame:
 
 
 def call_cost(n_in: Column, n_out: Column, in_rate: Column, out_rate: Column) -> Column:
-    return F.round((n_in * in_rate + n_out * out_rate) / 1000000, 6)
+    """Rounded half-up to a millionth, computed in decimals so ties are exact."""
+    exact = n_in * in_rate.cast("decimal(10,4)") + n_out * out_rate.cast("decimal(10,4)")
+    return F.round(exact / 1000000, 6).cast("double")
 
 
 def usage_by_model(calls: DataFrame, keys: list[str]) -> DataFrame:

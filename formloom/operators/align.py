@@ -134,7 +134,7 @@ def layout_pairs(layouts: DataFrame, reps: DataFrame) -> DataFrame:
     identity = F.when(
         F.size("rep_sigs") > 0, F.sequence(F.lit(0), F.size("rep_sigs") - 1)
     ).otherwise(F.array().cast("array<int>"))
-    matched = _match_layouts(F.when(~same, F.col("rep_sigs")), F.when(~same, F.col("sigs")))
+    matched = _match_layouts.asNondeterministic()(F.when(~same, F.col("rep_sigs")), F.when(~same, F.col("sigs")))
     return joined.withColumn("_matched", matched).withColumn(
         "pairs", F.when(same, identity).otherwise(F.col("_matched"))
     ).drop("sigs", "_matched", "n_docs", "first_seq")

@@ -42,7 +42,7 @@ def unique_names(bases: Column, taken: Column | None = None) -> Column:
     """Free names for an ordered ``ARRAY<STRING>`` of wanted ones (null stays
     null), against names already ``taken``.  One document per row."""
     none = F.array().cast("array<string>")
-    return _name_in_order(bases, taken if taken is not None else none)
+    return _name_in_order.asNondeterministic()(bases, taken if taken is not None else none)
 
 
 def with_unique_names(
