@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog import common as C
 from formloom.operators import compliance as K
 from formloom.operators import fields as FD
+from formloom.operators import render as G
 from formloom.operators import validate as VA
 from formloom.plans import analyze as P
 from formloom.session import stage
@@ -48,16 +49,28 @@ def received_forms(spark, d):
 _published: dict = {}
 
 
-def template_of_forms(spark, d):
-    """The forms' templates, derived once per session and input and then read
-    from where they were staged, the way a published template is."""
+def published(spark, d):
+    """The forms' templates (``specs``, ``fields``, ``rules``, ``blocks``), derived
+    once per session and input and then read from where they were staged, the way
+    a published template is."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _published:
         a = P.analyze(C.forms(spark, d))
-        _published[key] = stage(K.template_specs(a.representatives, a.classified, a.fields), "templates")
+        fields = stage(a.fields, "fields")
+        keyed = lambda df: df.withColumnRenamed("group_id", "template_id").drop("doc_id")
+        _published[key] = {
+            "specs": stage(K.template_specs(a.representatives, a.classified, fields), "templates"),
+            "fields": keyed(fields),
+            "rules": stage(keyed(FD.derive_rules(fields)), "rules"),
+            "blocks": stage(G.template_blocks(a.representatives, a.classified, fields, a.sections), "blocks"),
+        }
     return _published[key]
 
 
+def template_of_forms(spark, d):
+    return published(spark, d)["specs"]
+
+
 def _reports(spark, d):
     return K.check_compliance(received_forms(spark, d), template_of_forms(spark, d))
 
