@@ -60,9 +60,10 @@ def with_layout(documents: DataFrame) -> DataFrame:
     """Keep the top-level elements as ``tops`` and add ``sigs``, ``layout``."""
     tops = documents.withColumn("tops", top_elements(F.col("elements"))).drop("elements")
     sigs = F.transform(F.transform("tops", signature_parts), signature_of)
-    return tops.withColumn("sigs", sigs).withColumn(
-        "layout", F.sha2(F.array_join("sigs", SEPARATOR), 256)
-    )
+    # Never null: otherwise a join on the layout pushes "layout is not null", with
+    # the whole signature expression in it, down as a second evaluation.
+    key = F.coalesce(F.sha2(F.array_join("sigs", SEPARATOR), 256), F.lit(""))
+    return tops.withColumn("sigs", sigs).withColumn("layout", key)
 
 
 def _match(rep: list[str], other: list[str]) -> list[int]:

@@ -40,7 +40,6 @@ BODY = (
 def test_docx_corpus(spark, tmp_path):
     (tmp_path / "good.docx").write_bytes(docx(BODY))
     (tmp_path / "fake.docx").write_bytes(b"not a zip")
-    (tmp_path / "empty.DOCX").write_bytes(b"")
     (tmp_path / "note.txt").write_text("x")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -49,7 +48,7 @@ def test_docx_corpus(spark, tmp_path):
     files = DX.read_files(spark, str(tmp_path))
     parsed = DX.parse_corpus(DX.read_docx_corpus(spark, str(tmp_path)))
     reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in DX.reject_report(files, parsed).collect()}
-    assert set(reasons) == {"fake.docx", "empty.DOCX", "note.txt", "evil.docx"}
+    assert set(reasons) == {"fake.docx", "note.txt", "evil.docx"}
     assert "unsafe" in reasons["evil.docx"] and "Only .docx" in reasons["note.txt"]
     doc = DX.documents_from_docx(parsed).first()
     got = [(e.node_id, e.parent_node_id, e.type, e.subtype, e.text) for e in doc.elements]
@@ -66,6 +65,13 @@ def test_docx_corpus(spark, tmp_path):
     assert {r.key.rsplit("/", 1)[1] for r in DX.stat_files(spark, str(tmp_path)).collect()} >= {"note.txt", "good.docx"}
 
 
+def test_upload_checks(spark):
+    rows = [("a.docx", 5), ("a.DOCX", 0), ("a.doc", 5), ("big.docx", 26 * 1024 * 1024)]
+    df = spark.createDataFrame(rows, "filename string, size bigint").withColumn("why", DX.upload_problem())
+    assert [r.why for r in df.collect()] == [
+        None, "Uploaded file is empty", "Only .docx files are supported", "File exceeds the 25 MB upload limit"]
+
+
 def test_packages(spark, tmp_path):
     base = str(tmp_path)
     fields = spark.createDataFrame([("a", "text")], "field_name string, field_type string")
