@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formloom.llm import mixing, sharding, token_counts
+from formloom.llm import merkle, mixing, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
 
@@ -23,10 +27,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_merkle_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op7_source_mix, op8_token_counts, op10_feistel_shards)}
+QUERIES = {f.__name__: f for f in (
+    op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
+)}
 
-ORACLES = {"op7_source_mix": mixing.ORACLE}
+ORACLES = {"op6_risk_rules": quality.ORACLE, "op7_source_mix": mixing.ORACLE}
