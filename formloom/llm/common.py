@@ -60,3 +60,32 @@ def numbered(rows: DataFrame, order: list[str], out: str = "row_number") -> Data
         .withColumn(out, (F.col(before) + F.col("_inside")).cast("bigint"))
         .drop(tie, part, before, "_inside")
     )
+
+
+#: A presence table is 256 bitmaps of 32,768 bits, 1 MB whatever the data.
+SLOTS, BUCKET = 1 << 23, 1 << 15
+
+
+def presence(hashes: DataFrame, column: str) -> DataFrame:
+    """A bounded summary of a bigint hash column for :func:`maybe_in`: at most 256
+    rows of 4 KB.  Past a few million hashes it lets more and more rows through,
+    so it may save work, never decide."""
+    slot = F.pmod(F.col(column), F.lit(SLOTS))
+    return (
+        hashes.select(F.shiftright(slot, 15).cast("int").alias("_bucket"), (slot % BUCKET).cast("bigint").alias("_bit"))
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    )
+
+
+def maybe_in(rows: DataFrame, column: str, summary: DataFrame, out: str) -> DataFrame:
+    """``rows`` with a boolean ``out``: false only if ``column`` is not among the hashes."""
+    slot = F.pmod(F.col(column), F.lit(SLOTS))
+    at = (slot % BUCKET).cast("int")
+    octet = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_octet, _at & 7) & 1")
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    joined = rows.withColumn("_slot_bucket", F.shiftright(slot, 15).cast("int")).join(
+        F.broadcast(summary), F.col("_slot_bucket") == F.col("_bucket"), "left"
+    )
+    tested = joined.select(*names, octet.alias("_octet"), at.alias("_at"))
+    return tested.select(*names, F.coalesce(bit == 1, F.lit(False)).alias(out))
