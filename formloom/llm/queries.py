@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formloom.llm import line_dedup, merkle, mixing, quality, sharding, token_counts
+from formloom.llm import line_dedup, merkle, minhash, mixing, quality, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, part=85, whole=100)
+
+
 def op6_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_line_dedup, op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
+    op4_line_dedup, op5_minhash_near_dedup, op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
 )}
 
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op6_risk_rules": quality.ORACLE, "op7_source_mix": mixing.ORACLE}
