@@ -125,31 +125,35 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     Texts cross the network once, by key: the order is found on narrow rows, each
     document sends only the beginning that its predecessor needs.
     """
-    texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    ids = texts.groupBy("_key", "_hash").agg(F.max(F.char_length("_text")).cast("bigint").alias("n_chars"))
+    # A document is known by the hashes of its key and text: plain, never null, so the
+    # shuffle by them serves the joins and the aggregate alike.
+    texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text")).withColumns(
+        {"_key_hash": F.xxhash64("_key"), "_hash": F.xxhash64("_text")}
+    )
+    ids = texts.groupBy("_key", "_key_hash", "_hash").agg(F.max(F.char_length("_text")).cast("bigint").alias("n_chars"))
     order = numbered(ids, ["_key", "_hash"], "_at")
     n = max(order.count(), 1)
-    before = order.select(((F.col("_at") + 1) % n).alias("_at"), F.struct("_key", "_hash", "n_chars").alias("_prior"))
-    links = order.join(before, "_at").select("_key", "_hash", "_prior").alias("l")
-    same = F.col("t._key").eqNullSafe(F.col("l._key")) & (F.col("t._hash") == F.col("l._hash"))
+    prior = F.struct(F.col("_key").alias("key"), F.col("_key_hash").alias("key_hash"), F.col("_hash").alias("hash"), "n_chars").alias("_prior")
+    before = order.select(((F.col("_at") + 1) % n).alias("_at"), prior)
+    links = order.join(before, "_at").select("_key_hash", "_hash", "_prior")
     sent = (
-        texts.alias("t").join(links, same)
+        texts.join(links, ["_key_hash", "_hash"])
         .select(
-            F.col("_prior._key").alias("_to"), F.col("_prior._hash").alias("_to_hash"),
-            F.struct(
+            F.col("_prior.key_hash").alias("_key_hash"), F.col("_prior.hash").alias("_hash"),
+            F.struct(  # the key comes back with it, so both joins read one shuffle of the same columns
+                F.col("_prior.key").alias("key"),
                 F.substring(F.col("_text"), F.lit(1), F.floor(F.col("_prior.n_chars") / 4).cast("int")).alias("head"),
                 fingerprint(F.col("_text")).alias("print"),
             ).alias("_next"),
         )
-        .groupBy("_to", "_to_hash").agg(F.first("_next").alias("_next")).alias("s")
+        .groupBy("_key_hash", "_hash").agg(F.first("_next").alias("_next"))
     )
-    to = F.col("t._key").eqNullSafe(F.col("s._to")) & (F.col("t._hash") == F.col("s._to_hash"))
     length = F.char_length("_text")
     edited = F.concat(
         F.substring(F.col("_text"), F.lit(1), length - F.floor(length / 4).cast("int")), F.col("_next.head")
     )
-    made = texts.alias("t").join(sent, to).select(
-        F.col("t._key").alias(key), length.cast("bigint").alias("n_chars"), F.col("_next.print").alias("_next_print"),
+    made = texts.join(sent, ["_key_hash", "_hash"]).select(
+        F.col("_next.key").alias(key), length.cast("bigint").alias("n_chars"), F.col("_next.print").alias("_next_print"),
         fingerprint(F.col("_text")).alias("fingerprint"),
         let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), fingerprint(e).alias("print"))).alias("_e"),
     )
