@@ -5,13 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from formloom.llm import line_dedup, merkle, minhash, mixing, quality, sharding, token_counts
+from formloom.llm import html_extraction, line_dedup, merkle, minhash, mixing, packing, quality, sharding, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train_chain(docs, _table(spark, sf_dir, "labels"), toxicity.label_categories())
+    return toxicity.classify(docs, chain, reject=["toxic"])
+
+
+def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_len=1024, end=2
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
 
@@ -44,7 +60,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_line_dedup, op5_minhash_near_dedup, op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
+    op1_html_main_text, op2_toxicity_chain, op3_bin_completion, op4_line_dedup, op5_minhash_near_dedup, op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
 )}
 
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op6_risk_rules": quality.ORACLE, "op7_source_mix": mixing.ORACLE}

@@ -22,7 +22,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 _WITH_BLANKS, _WITHOUT_BLANKS = re.compile(r"\s*\S+|\s+"), re.compile(r"\S+")
 # The word patterns of the two tokenizer families, over plain characters.
 _BYTE_WORDS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+| +(?! )| +"
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+| +(?![^ ])| +"
 )
 _LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+")
 
@@ -35,6 +35,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _by_rank(model: dict, letters: dict[int, str]) -> Callable[[str], list[int]] | None:
+    """An encoder for byte-level vocabularies whose ids are the merges' ranks: then
+    tiktoken's merge loop gives the same ids, in less time.  None for others."""
+    vocab, merges = model["vocab"], model["merges"]
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    if model.get("ignore_merges") or any(vocab.get(w) != 256 + i for i, w in enumerate(joined)):
+        return None
+    import tiktoken
+
+    octets = {c: b for b, c in letters.items()}
+    ranks = {bytes([octets[c] for c in w]): i for w, i in vocab.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding(
+        "ranked", pat_str=_BYTE_WORDS.pattern, mergeable_ranks=ranks, special_tokens={}
+    ).encode_ordinary
+
+
 def json_encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text as the tokenizers library gives them, without added special tokens."""
     from tokenizers import Tokenizer
@@ -58,10 +74,13 @@ def json_encoder(path: str) -> Callable[[str], list[int]]:
     else:
         return whole
     letters, model, chunks, parts = byte_letters(), library.model, {}, {}
+    ranked = None if lower else _by_rank(told["model"], letters)
 
     def chunk_ids(chunk: str) -> list[int]:
         if not _PLAIN.fullmatch(chunk) or special.search(chunk):
             return whole(chunk)
+        if ranked:
+            return ranked(chunk)
         out: list[int] = []
         for word in inner.findall(chunk.lower() if lower else chunk):
             ids = parts.get(word)
