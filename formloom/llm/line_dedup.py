@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.llm.common import let, maybe_in, numbered, presence, text_of, words
+from formloom.llm.common import BLANKS, let, maybe_in, numbered, presence, text_of
 from formloom.session import stage
 
 #: Shorter lines must be equal; longer ones may differ by one word.
@@ -42,33 +42,51 @@ def _is_power(n: Column) -> Column:
     return n.bitwiseAND(n - 1) == 0
 
 
-def _line_facts(ws: Column) -> Column:
-    """Word count, 128-bit hash and the keys of both ends of a line."""
-    n = F.size(ws)
+#: What keeps a line from being its words with one blank between.
+_IRREGULAR = r"[\t\x0B\f\r]|^ |  | $"
 
+
+def _told(line: Column) -> Column:
+    """A line as its words with one blank between."""
+    return F.when(line.rlike(_IRREGULAR), F.trim(F.regexp_replace(line, BLANKS, " "))).otherwise(line)
+
+
+def _n_words(told: Column) -> Column:
+    blanks = F.char_length(told) - F.char_length(F.replace(told, F.lit(" "), F.lit("")))
+    return F.when(told == "", F.lit(0)).otherwise(blanks + 1)
+
+
+def _hashes(told: Column) -> list[Column]:
+    """128 bits of a line, as two columns."""
+    return [F.xxhash64(told).alias("h1"), F.xxhash64(told, F.lit(1)).alias("h2")]
+
+
+def _keys(told: Column, n: Column) -> Column:
+    """The keys of a line's two ends; none for lines that must be equal."""
     def ends(m: Column) -> list[Column]:
-        return [
-            F.struct(F.xxhash64(F.lit(_PREFIX), m, F.slice(ws, 1, m)).alias("k"), F.lit(_PREFIX).alias("side")),
-            F.struct(F.xxhash64(F.lit(_SUFFIX), m, F.slice(ws, n - m + 1, m)).alias("k"), F.lit(_SUFFIX).alias("side")),
-        ]
+        def key(side: int, words: Column) -> Column:
+            return F.struct(F.xxhash64(F.lit(side), m, words).alias("k"), F.lit(side).alias("side"))
+
+        def end(count: Column) -> Column:
+            return F.call_function("substring_index", told, F.lit(" "), count)
+
+        return [key(_PREFIX, end(m)), key(_SUFFIX, end(-m))]
 
     m = _shared(n)
     none = F.array().cast("array<struct<k:bigint,side:int>>")
     # A power of two also meets lines of one word less, which go by half as many words.
-    keys = F.when(n < NEAR_WORDS, none).when(
+    return F.when(n < NEAR_WORDS, none).when(
         _is_power(n) & (n > NEAR_WORDS), F.array(*ends(m), *ends(F.shiftright(m, 1)))
     ).otherwise(F.array(*ends(m)))
-    return F.struct(
-        n.alias("n"), F.xxhash64(ws).alias("h1"), F.xxhash64(ws, F.lit(1)).alias("h2"), keys.alias("keys")
-    )
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Every line with a word: _key, _doc (hash of the text), _line, ws."""
+    """Every line with a word: _key, _doc (hash of the text), _line, told, n."""
     return (
         docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
         .select("_key", F.xxhash64("_text").alias("_doc"), F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
-        .select("_key", "_doc", "_line", words(F.col("_words")).alias("ws"))
+        .select("_key", "_doc", "_line", _told(F.col("_words")).alias("told"))
+        .where("told <> ''").withColumn("n", _n_words(F.col("told")))
     )
 
 
@@ -131,13 +149,12 @@ def _near(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
     shared = long_lines.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b")
     possible = maybe_in(long_lines, "k", presence(shared, "k"), "maybe").where("maybe")
     sides = stage(possible.groupBy("h1").agg(F.bit_or("side").alias("sides")), "line-sides")
-    facts = F.struct(F.size("ws").alias("n"), F.xxhash64("ws").alias("h1"), F.xxhash64("ws", F.lit(1)).alias("h2"))
-    texts = _lines(docs, key, text).where(F.size("ws") >= NEAR_WORDS).select("*", facts.alias("f"))
-    texts = texts.select(_place().alias("place"), "ws", "f.n", "f.h1", "f.h2")
+    texts = _lines(docs, key, text).where(F.col("n") >= NEAR_WORDS)
+    texts = texts.select(_place().alias("place"), "told", "n", *_hashes(F.col("told")))
     texts = maybe_in(texts, "h1", presence(sides, "h1"), "maybe").where("maybe").drop("maybe").join(sides, "h1")
     found = stage(
         texts.groupBy("h1", "h2").agg(
-            F.min("place").alias("place"), F.first("n").alias("n"), F.first("sides").alias("sides"), F.first("ws").alias("ws")
+            F.min("place").alias("place"), F.first("n").alias("n"), F.first("sides").alias("sides"), F.split(F.first("told"), " ").alias("ws")
         ),
         "near-lines",
     )
@@ -159,8 +176,10 @@ def _near(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
 
 def removals(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The lines to remove: _key, _doc (hash of the text), lines (numbers from 0)."""
-    told = _lines(docs, key, text).where(F.size("ws") > 0).select("_key", "_doc", "_line", let(F.col("ws"), _line_facts).alias("f"))
-    lines = stage(told.select("_key", "_doc", "_line", "f.*"), "lines")
+    told, n = F.col("told"), F.col("n")
+    lines = stage(
+        _lines(docs, key, text).select("_key", "_doc", "_line", "n", *_hashes(told), _keys(told, n).alias("keys")), "lines"
+    )
     repeated = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = _near(docs, lines, key, text).withColumn("near", F.lit(True))
     named = stage(repeated.select("h1", "h2", "first").join(near, ["h1", "h2"], "full_outer"), "named-lines")
