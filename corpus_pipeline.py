@@ -1,6 +1,73 @@
-STAGES = []
+"""A corpus pipeline over ``documents``: each stage's result is the next one's input.
+
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of
+``documents``.  :func:`run` applies them one after the other, each result written as
+Parquet to the session's shared folder and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formloom.llm import line_dedup, minhash, mixing, packing, toxicity
+from formloom.session import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.train_chain(docs, labels, toxicity.label_categories())
+    judged = toxicity.classify(docs, chain, reject=["toxic"], keep=True)
+    return judged.where("not rejected").drop("rejected")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line repeats go; so do documents of which no word is left.
+
+    ``n_chars`` follows the text.  Documents that had no word before stay.
+    """
+    has_word = r"[^\x20\x09-\x0D]"
+    left = line_dedup.dedup_lines(docs, report=True)
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(has_word), F.lit(False))
+    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return left.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    found = minhash.near_duplicates(docs, shingle=5, part=80, whole=100)
+    # Ids of the documents to go; rows of one id share their fate.
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.mix(docs, weights=(5, 2, 1), cap=3)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_len=1024, end=2)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", dedup_documents),
+    ("source_mix", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: The trained chain and the tokenizer can't be written in SQL; tests/llm holds the
+#: pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
