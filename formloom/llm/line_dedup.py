@@ -196,8 +196,8 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with each text freed of the lines that an earlier line repeats.
 
-    The columns stay as they are; ``report`` adds n_lines (\\n-split lines, blank ones
-    included) and n_removed.
+    The columns stay as they are; ``report`` adds (or replaces) n_lines (\\n-split lines,
+    blank ones included) and n_removed.
 
     Lines without a word are never duplicates and always stay.  A null text is left
     null, with one (empty) line; rows with null keys come last; rows equal in key and
@@ -205,22 +205,25 @@ def dedup_lines(
     table gives an empty result.
     """
     gone = stage(removals(docs, key=key, text=text), "removed-lines")
-    names = docs.columns
-    rows = docs.withColumn("_doc", F.xxhash64(text_of(text)))
-    rows = maybe_in(rows, "_doc", presence(gone, "_doc"), "_maybe")
-    gone = gone.select(F.col("_key"), F.col("_doc").alias("_gone_doc"), F.col("lines").alias("_gone"))
-    of_row = F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_doc") == F.col("_gone_doc"))
-    concerned = rows.where("_maybe").join(gone, of_row, "left")
-    column = F.col(f"`{text}`")
+    # The row travels as one column, so its names can't clash with those used here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_row_key"),
+        F.xxhash64(text_of(text)).alias("_row_doc"),
+    )
+    rows = maybe_in(rows, "_row_doc", presence(gone, "_doc"), "_maybe")
+    of_row = F.col("_row_key").eqNullSafe(F.col("_key")) & (F.col("_row_doc") == F.col("_doc"))
+    concerned = rows.where("_maybe").join(gone, of_row, "left").select("_row", "lines")
+    rows = rows.where("not _maybe").select("_row", F.lit(None).cast("array<int>").alias("lines")).unionByName(concerned)
+
+    column = F.col("_row")[text]
     all_lines = F.split(column, "\n")
-    left = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    kept = [F.when(F.col("_gone").isNull(), column).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in names]
-    same = [F.col(f"`{c}`") for c in names]
+    left = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("lines"), i)), "\n")
+    left = F.when(F.col("lines").isNull(), column).otherwise(left)
+    out = {c: left if c == text else F.col("_row")[c] for c in docs.columns}
     if report:
-        n_lines = F.coalesce(F.size(all_lines), F.lit(1)).cast("bigint").alias("n_lines")
-        kept += [n_lines, F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed")]
-        same += [n_lines, F.lit(0).cast("bigint").alias("n_removed")]
-    return rows.where("not _maybe").select(*same).unionByName(concerned.select(*kept))
+        out["n_lines"] = F.coalesce(F.size(all_lines), F.lit(1)).cast("bigint")
+        out["n_removed"] = F.coalesce(F.size("lines"), F.lit(0)).cast("bigint")
+    return rows.select(*[c.alias(name) for name, c in out.items()])
 
 
 ORACLE = f"""

@@ -145,16 +145,14 @@ def mix(
     The columns are those of ``docs``; see :func:`mix_sizes` for the rules.
     """
     _, cuts = plan_mix(docs, key=key, text=text, source=source, weights=weights, cap=cap)
-    cuts = cuts.select(F.col("source_key").alias("_source_key"), "copies", "cut")
-    cuts = cuts.select("_source_key", F.struct("copies", "cut").alias("_cut"))
-    below = F.shiftright(_cell(key), HASH_BITS - LEVELS * LEVEL_BITS) < F.col("_cut.cut")
-    times = F.col("_cut.copies") + below.cast("bigint")
-    return (
-        docs.withColumn("_source_key", _source_key(F.col(source))).join(cuts, "_source_key")
-        .withColumn("_times", times).where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one column, so its names can't clash with those used here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _source_key(F.col(source)).alias("source_key"),
+        _cell(key).alias("cell"),
     )
+    taken = rows.join(cuts, "source_key").withColumn("times", _times()).where("times > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """

@@ -27,7 +27,7 @@ from formloom.llm.common import text_of
 MAX_ROWS = 8000
 #: Features a model may use, of those in at least MIN_ROWS training rows whose share
 #: among positive rows differs by at least MIN_Z standard errors.
-MAX_FEATURES, MIN_ROWS, MIN_Z = 300, 5, 6.0
+MAX_FEATURES, MIN_ROWS, MIN_Z = 300, 5, 5.0
 FOLDS, STEPS, RIDGE = 4, 300, 0.3
 #: Share of the rows turned away that should be rightly so, where the threshold is set.
 PRECISION = 0.98
@@ -256,15 +256,18 @@ def classify(
         for batch in batches:
             yield batch.map(lambda t: chain(t or ""))
 
+    others = [c for c in docs.columns if c != "rejected"] if keep else []
+    judged = docs.select(
+        F.struct(*([F.col(f"`{c}`") for c in others] or [F.col(key).alias("_key")])).alias("row"),
+        probabilities(F.col(f"`{text}`").cast("string")).alias("p"),
+    )
     over = F.lit(False)
-    p = probabilities(F.col(f"`{text}`").cast("string"))
     for i, cut in cuts:
-        over = over | (F.get(F.col("_p"), F.lit(i)) > cut)
+        over = over | (F.get("p", F.lit(i)) > cut)
     if keep:
-        others = [F.col(f"`{c}`") for c in docs.columns if c != "rejected"]
-        return docs.withColumn("_p", p).select(*others, over.alias("rejected"))
-    found = docs.select(F.col(key).alias(key), p.alias("_p"))
-    return found.select(key, *[F.get("_p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(names)], over.alias("rejected"))
+        return judged.select(*[F.col("row")[c].alias(c) for c in others], over.alias("rejected"))
+    shares = [F.get("p", F.lit(i)).alias(f"p_{c}") for i, c in enumerate(names)]
+    return judged.select(F.col("row._key").alias(key), *shares, over.alias("rejected"))
 
 
 #: The chain over the given labels: low quality first, then toxic.
