@@ -4,18 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formloom.session import ENGINE_CONF, spread
+from formloom.session import spread
 from formloom.sources import text as S
 
-_RUNTIME = (
-    "spark.sql.session.timeZone",
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize",
-)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for key in _RUNTIME:
-        spark.conf.set(key, ENGINE_CONF[key])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -128,12 +120,12 @@ line_rows AS (
   FROM lineitem GROUP BY l_orderkey
 ), form_base AS (
   SELECT o.*, c_name, cells, o_totalprice > {S.CLAUSE_ABOVE} AS big
-  FROM orders o JOIN customer ON o_custkey = c_custkey LEFT JOIN line_rows ON l_orderkey = o_orderkey
+  FROM orders o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN line_rows ON l_orderkey = o_orderkey
 ), form_parts AS (
   SELECT *, list_filter([
     {{'type':'paragraph','text':'{S.FORM_TITLE}'}},
     {{'type':'paragraph','text':'Order Number: ' || o_orderkey}},
-    {{'type':'paragraph','text':'Customer Name: ' || c_name}},
+    {{'type':'paragraph','text':'Customer Name: ' || coalesce(c_name, '')}},
     {{'type':'paragraph','text':'Order Date: ' || strftime(o_orderdate, '%Y-%m-%d')}},
     {{'type':'paragraph','text':'Status: ' || o_orderstatus}},
     CASE WHEN big THEN {{'type':'paragraph','text':'{S.FORM_CLAUSE}'}} END,

@@ -35,7 +35,7 @@ def received_forms(spark, d):
         )
         ts = e["table_structure"]
         heads = F.array(*[F.lit(h) for h in OTHER_HEADERS])
-        renamed = ts.withField("headers", heads).withField("rows", F.concat(F.array(heads), F.slice(ts["rows"], 2, 100000)))
+        renamed = ts.withField("headers", heads).withField("rows", F.concat(F.array(heads), F.slice(ts["rows"], 2, F.greatest(F.size(ts["rows"]), F.lit(1)))))
         return e.withField("text", text).withField(
             "table_structure", F.when((F.col("_m") == "06") & ts.isNotNull(), renamed).otherwise(ts))
 
@@ -46,25 +46,18 @@ def received_forms(spark, d):
     return docs.withColumn("_m", month).withColumn("elements", kept).drop("_m")
 
 
-_published: dict = {}
-
-
 def published(spark, d):
     """The forms' templates (``specs``, ``fields``, ``rules``, ``blocks``), derived
-    once per session and input and then read from where they were staged, the way
-    a published template is."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _published:
-        a = P.analyze(C.forms(spark, d))
-        fields = stage(a.fields, "fields")
-        keyed = lambda df: df.withColumnRenamed("group_id", "template_id").drop("doc_id")
-        _published[key] = {
-            "specs": stage(K.template_specs(a.representatives, a.classified, fields), "templates"),
-            "fields": keyed(fields),
-            "rules": stage(keyed(FD.derive_rules(fields)), "rules"),
-            "blocks": stage(G.template_blocks(a.representatives, a.classified, fields, a.sections), "blocks"),
-        }
-    return _published[key]
+    from the given orders by every query that uses them."""
+    a = P.analyze(C.forms(spark, d))
+    fields = stage(a.fields, "fields")
+    keyed = lambda df: df.withColumnRenamed("group_id", "template_id").drop("doc_id")
+    return {
+        "specs": stage(K.template_specs(a.representatives, a.classified, fields), "templates"),
+        "fields": keyed(fields),
+        "rules": keyed(FD.derive_rules(fields)),
+        "blocks": G.template_blocks(a.representatives, a.classified, fields, a.sections),
+    }
 
 
 def template_of_forms(spark, d):
@@ -99,8 +92,8 @@ def actionable_rows(spark, d):
 def judged_compliance(spark, d):
     """Reports after a judge called every missing piece material."""
     r = stage(_reports(spark, d), "reports")
-    verdicts = r.select("doc_id", F.posexplode("differences").alias("index", "x")).select(
-        "doc_id", "index", F.lit("error").alias("severity"),
+    verdicts = r.select("group_id", "doc_id", F.posexplode("differences").alias("index", "x")).select(
+        "group_id", "doc_id", "index", F.lit("error").alias("severity"),
         F.col("x.kind").startswith("missing").alias("material"), F.lit("Judged").alias("rationale"))
     j = K.apply_verdicts(r, verdicts)
     sem = F.get(F.filter("dimensions", lambda x: x["name"] == "semantic"), F.lit(0))["score"]
@@ -173,10 +166,38 @@ def order_status(spark, d):
     return VA.issue_summary(ctx, VA.validate(ctx, fields, rules))
 
 
+def pattern_issues(spark, d):
+    """Regex rules on customers: a valid pattern, and one that does not compile."""
+    c = C.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.lit("t").alias("template_id"), "c_name", "c_mktsegment")
+    value = lambda name, v: F.struct(F.lit(name).alias("field_name"), F.col(v).alias("value"), F.lit(None).cast("array<map<string,string>>").alias("rows"))
+    context = c.select("request_id", "template_id", F.inline(F.array(value("name", "c_name"), value("segment", "c_mktsegment"))))
+    named = lambda name, label: F.struct(F.lit(name).alias("field_name"), F.lit(label).alias("label"))
+    rule = lambda name, i, pattern: F.struct(
+        F.lit(name).alias("field_name"), F.lit(f"{name}:{i}").alias("rule_id"), F.lit("regex").alias("rule_type"),
+        FD.rule_params(pattern=F.lit(pattern)).alias("params"), F.lit(None).cast("string").alias("message"), F.lit("warning").alias("severity"))
+    one = c.select("template_id").distinct()
+    fields = one.select("template_id", F.inline(F.array(named("name", "Name"), named("segment", "Segment"))))
+    rules = one.select("template_id", F.inline(F.array(
+        rule("name", 1, r"(?s)Customer.\d*[02468]"), rule("name", 2, "(?m)Cust"), rule("segment", 1, "[z-a]"), rule("segment", 2, "(?i)[a-m].*"))))
+    return VA.validate(context, fields, rules).select("request_id", "rule_id", "severity", "message")
+
+
+def twice_judged(spark, d):
+    """Two verdicts on each first difference: the later severity, both reasons."""
+    r = stage(_reports(spark, d), "reports")
+    first = r.where(F.size("differences") > 0).select("group_id", "doc_id", F.lit(0).alias("index"))
+    verdict = lambda ord, severity, material: first.withColumns({
+        "ord": F.lit(ord), "severity": F.lit(severity), "material": F.lit(material), "rationale": F.lit(f"reason {ord}")})
+    j = K.apply_verdicts(r, verdict(2, "info", False).unionByName(verdict(1, "error", True)).unionByName(verdict(3, "odd", True)))
+    sem = F.get(F.filter("dimensions", lambda x: x["name"] == "semantic"), F.lit(0))["score"]
+    d0 = F.get("differences", F.lit(0))
+    return j.select("doc_id", sem.alias("semantic"), d0["severity"].alias("severity"), d0["message"].endswith(". reason 1. reason 2. reason 3").alias("folded"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (form_compliance, compliance_differences, compliance_alignment, actionable_rows, judged_compliance,
-              repaired_forms, order_issues, order_status)
+              repaired_forms, order_issues, order_status, pattern_issues, twice_judged)
 }
 
 _PCT = int(SequenceMatcher(None, ALTERED, S.FORM_TERMS).ratio() * 100)

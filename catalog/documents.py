@@ -40,7 +40,7 @@ def page_elements(spark, d):
         F.count_if(F.col("type") == "heading").alias("headings"),
         F.count_if(F.col("type") == "list_item").alias("items"),
         F.max(F.when(F.col("type") == "heading", F.col("text"))).alias("title"),
-    ).where("headings > 0")
+    )
 
 
 def duplicate_documents(spark, d):
@@ -146,7 +146,7 @@ ORACLES = {
               len(regexp_extract_all(h, '<h[1-6]>')) AS headings, list_filter(regexp_extract_all(h, '<li>[\s\S]*?</li>'), lambda x: length(regexp_replace(x, '<[^>]*>', '', 'g')) > 0) AS lis FROM v)
         SELECT page_id::VARCHAR AS doc_id, headings::BIGINT AS headings, len(lis)::BIGINT AS items,
           trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title
-        FROM b WHERE headings > 0""",
+        FROM b""",
     "duplicate_documents": f"""WITH {C.LINES_SQL}, t AS (SELECT doc_id, pos, line,
         CASE WHEN upper(line) = line AND lower(line) <> line AND length(line) > 2 AND length(line) < 80 THEN 'heading'
              WHEN regexp_matches(line, '^(?:[-*•]|[0-9]+[.)])\\s') THEN 'list_item' ELSE 'paragraph' END AS type FROM lines),

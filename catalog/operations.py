@@ -148,7 +148,7 @@ def recent_orders(spark, d):
 
 def draft_edits(spark, d):
     """Each turn against the next one of its conversation, as a draft and its edit."""
-    c = C.wide(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "conv_id", "turn", "role", "text").dropDuplicates(["conv_id", "turn"])
+    c = C.wide(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "conv_id", "turn", "role", "text").dropDuplicates()
     prior = c.select("request_id", F.col("role").alias("field_name"), F.col("turn").alias("ord"), F.col("text").alias("value"), "conv_id", "turn")
     nxt = c.select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("request_id"), F.col("text").alias("value"))
     final = prior.select("request_id", "field_name").join(nxt, "request_id")
@@ -157,7 +157,7 @@ def draft_edits(spark, d):
 
 def learned_lines(spark, d):
     """Newest lines of each role and conversation, as guidance."""
-    c = C.wide(spark, d, "conversations").dropDuplicates(["conv_id", "turn"]).select(
+    c = C.wide(spark, d, "conversations").select("conv_id", "turn", "role", "text").distinct().select(
         F.col("conv_id").alias("owner_id"), F.col("role").alias("kind"), F.timestamp_seconds("turn").alias("created_at"), F.col("text").alias("summary"))
     return L.fewshot_lines(c, ["owner_id", "kind"]).select("owner_id", "kind", F.size("lines").cast(BIG).alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
 

@@ -51,7 +51,7 @@ def part_skeletons(spark, d):
 def brand_values(spark, d):
     p = C.table(spark, d, "part")
     vals = p.select("p_brand", F.col("p_name").alias("text"), "p_partkey")
-    return D.distinct_texts(vals, ["p_brand"], "p_partkey", 5).select(
+    return D.distinct_texts(vals, ["p_brand"], "p_partkey").select(
         "p_brand", "n_distinct", F.array_join("texts", "|").alias("texts")
     )
 
@@ -211,8 +211,8 @@ ORACLES = {
         SELECT brand, 'Item ' || CASE WHEN types = 1 THEN t || ' size ' ELSE '' END AS prefix,
         CASE WHEN sizes = 1 THEN ' size ' || z ELSE '' END || ' in stock' AS suffix FROM s WHERE n > 1""",
     "brand_values": """WITH f AS (SELECT p_brand, p_name, min(p_partkey) AS k FROM part GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM f)
-        SELECT p_brand, max(n) AS n_distinct, string_agg(p_name, '|' ORDER BY k) FILTER (rn <= 5) AS texts FROM r GROUP BY p_brand""",
+        r AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n FROM f)
+        SELECT p_brand, max(n) AS n_distinct, string_agg(p_name, '|' ORDER BY k) AS texts FROM r GROUP BY p_brand""",
     "form_classes": f"SELECT group_id, c.*, 0.95::DOUBLE AS confidence FROM {_GROUPS} CROSS JOIN {_CLS_SQL}",
     "form_class_counts": f"SELECT group_id, classification, count(*) AS n_nodes FROM {_GROUPS} CROSS JOIN {_CLS_SQL} GROUP BY ALL",
     "form_fields": f"SELECT group_id, f.*, 0.95::DOUBLE AS confidence FROM {_GROUPS} CROSS JOIN {_FIELDS_SQL}",

@@ -22,6 +22,17 @@ def _sql_literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _slug_body() -> str:
+    """The rule of ``functions.text.slug`` over the argument ``t``: filler words go unless
+    nothing else is left, five words stay."""
+    stop = ", ".join(f"'{w}'" for w in V.SLUG_STOPWORDS)
+    head = "split_part(lower(rtrim(':', regexp_replace(t, '(?U)^\\\\s+|\\\\s+$', ''))), ':', 1)"
+    words = f"filter(split({head}, '[^a-z0-9]+'), w -> w <> '')"
+    kept = f"filter({words}, w -> w NOT IN ({stop}))"
+    named = f"array_join(slice(if(size({kept}) > 0, {kept}, {words}), 1, 5), '_')"
+    return f"coalesce(nullif(regexp_replace({named}, '^(?=[0-9])', 'f_'), ''), 'field')"
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Make the detectors, the kind, the number reader and ``similarity`` callable
     from SQL; returns the names."""
@@ -34,9 +45,7 @@ def register_functions(spark: SparkSession) -> list[str]:
         "detect_email": ("BOOLEAN", found(V.EMAIL)), "is_pure_number": ("BOOLEAN", number), "looks_like_person": ("BOOLEAN", person),
         "value_kind": ("STRING", f"CASE WHEN {date} THEN 'date' WHEN {found(V.CURRENCY)} OR {found(V.PERCENT)} OR {number} THEN 'number' WHEN {person} THEN 'person' ELSE 'text' END"),
         "parse_number": ("DOUBLE", "try_cast(regexp_replace(t, '[^0-9.\\\\-]', '') AS DOUBLE)"),
-        "slugify_field": ("STRING",
-            "coalesce(nullif(regexp_replace(regexp_extract(btrim(regexp_replace(btrim(regexp_replace(split_part(lower(rtrim(':', trim(t))), ':', 1), "
-            "'[^a-z0-9]+', '_'), '_'), '(?<![a-z0-9])(?:the|a|an|and|or)(?:_|$)', ''), '_'), '^(?:[a-z0-9]+_){0,4}[a-z0-9]+', 0), '^(?=[0-9])', 'f_'), ''), 'field')"),
+        "slugify_field": ("STRING", _slug_body()),
     }
     for name, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {body}")

@@ -15,6 +15,16 @@ def _try_date(text: Column, pattern: str) -> Column:
     return F.try_to_date(text, pattern)
 
 
+#: A weekday before a date, and a time after it.
+_WEEKDAY = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+"
+_CLOCK = r"(?i)(?<=[0-9])(?:T|,?\s+)[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:Z|[AP]M|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})?$"
+
+
+def bare_date(text: Column) -> Column:
+    """A date without its weekday and time of day."""
+    return F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _CLOCK, "")
+
+
 def parse_date(text: Column | str, patterns: tuple[str, ...]) -> Column:
     """First pattern that reads the whole text, as DATE; null when none does."""
     t = stripped(text)
@@ -23,8 +33,9 @@ def parse_date(text: Column | str, patterns: tuple[str, ...]) -> Column:
 
 def is_valid_date(text: Column | str, formats: Column | None = None) -> Column:
     """Whether the text is a date: one of the rule's formats (strptime spelling,
-    an ``ARRAY<STRING>`` column) or one of the accepted free-form shapes."""
-    t = stripped(text)
+    an ``ARRAY<STRING>`` column) or one of the accepted free-form shapes, with or
+    without a weekday before and a time behind it."""
+    t = bare_date(stripped(text))
     loose = parse_date(t, V.LOOSE_DATE_PATTERNS).isNotNull()
     iso = _try_date(t, V.DATE_PATTERNS["%Y-%m-%d"]).isNotNull()
     if formats is None:
@@ -47,7 +58,7 @@ def normalize_date(text: Column | str) -> Column:
     span = F.coalesce(
         F.nullif(F.regexp_extract(t, f"({V.DATE_DIGITS})", 1), F.lit("")),
         F.nullif(F.regexp_extract(t, f"({V.DATE_WORDS})", 1), F.lit("")),
-        t,
+        bare_date(t),
     )
     # A month may be cut to three letters and end in a dot.
     plain = F.regexp_replace(F.initcap(span), r"(?i)\b(sep)t\b|\.(?=\s)", "$1")

@@ -302,24 +302,30 @@ def actionable(reports: DataFrame) -> DataFrame:
 
 
 def apply_verdicts(reports: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Merge a judge's verdicts ``(doc_id, index, severity, material, rationale)``
-    into the differences and add the ``semantic`` dimension; score and grade stay.
-    A report without differences is left alone."""
-    packed = verdicts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "index", F.struct("severity", "material", "rationale").alias("v")))).alias("verdicts"))
-    j = reports.join(packed, "doc_id", "left").withColumn(
-        "verdicts", F.coalesce("verdicts", F.create_map().cast("map<int,struct<severity:string,material:boolean,rationale:string>>")))
+    """Merge a judge's verdicts ``(group_id, doc_id, index, severity, material,
+    rationale)``, with an optional ``ord``, into the differences and add the
+    ``semantic`` dimension; score and grade stay.
+
+    Several verdicts on one difference are applied one after the other, by ``ord``
+    (else by their values): the last valid severity holds, every rationale is
+    appended, each counts as judged.  A report without differences is left alone."""
+    ord_ = F.col("ord").cast("bigint") if "ord" in verdicts.columns else F.lit(0).cast("bigint")
+    packed = verdicts.groupBy("group_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("index").cast("int").alias("index"), ord_.alias("ord"), "severity", "rationale", "material"))).alias("verdicts"))
+    none = F.array().cast("array<struct<index:int,ord:bigint,severity:string,rationale:string,material:boolean>>")
+    j = reports.join(packed, ["group_id", "doc_id"], "left").withColumn("verdicts", F.coalesce("verdicts", none))
 
     def merged(d: Column, i: Column) -> Column:
-        v = F.try_element_at("verdicts", i)
-        why = F.nullif(v["rationale"], F.lit(""))
-        return d.withField("severity", F.when(v["severity"].isin(*V.SEVERITIES), v["severity"]).otherwise(d["severity"])).withField(
-            "message", F.concat_ws(". ", F.nullif(d["message"], F.lit("")), why))
+        own = F.filter("verdicts", lambda v: v["index"] == i)
+        severities = F.filter(F.transform(own, lambda v: v["severity"]), lambda s: s.isin(*V.SEVERITIES))
+        reasons = F.filter(F.transform(own, lambda v: v["rationale"]), lambda r: F.coalesce(r != "", F.lit(False)))
+        return d.withField("severity", F.coalesce(F.try_element_at(severities, F.lit(-1)), d["severity"])).withField(
+            "message", F.concat_ws(". ", F.nullif(d["message"], F.lit("")), F.nullif(F.array_join(reasons, ". "), F.lit(""))))
 
     n = F.size("differences")
-    valid = F.map_filter("verdicts", lambda k, v: (k >= 0) & (k < n))
+    valid = F.filter("verdicts", lambda v: (v["index"] >= 0) & (v["index"] < n))
     judged = F.when(F.size(valid) > 0, F.size(valid)).otherwise(n).cast("double")
-    material = F.size(F.map_filter(valid, lambda k, v: F.coalesce(v["material"], F.lit(False)))).cast("double")
+    material = F.size(F.filter(valid, lambda v: F.coalesce(v["material"], F.lit(False)))).cast("double")
     semantic = F.struct(F.lit("semantic").alias("name"), (judged - material).alias("satisfied"), judged.alias("total"),
                         F.round(100.0 * (1 - material / judged), 1).alias("score"))
     return j.withColumn(

@@ -306,12 +306,13 @@ def row_counts(aligned: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def distinct_texts(values: DataFrame, keys: list[str], order: str, max_samples: int) -> DataFrame:
-    """Order-preserving distinct texts per key (first ``max_samples``) with the
-    exact distinct count."""
+def distinct_texts(values: DataFrame, keys: list[str], order: str, max_samples: int | None = None) -> DataFrame:
+    """Order-preserving distinct texts per key with the exact distinct count: all of
+    them (meant for keys whose texts fit a row), or a preview of ``max_samples``."""
     firsts = values.groupBy(*keys, "text").agg(F.min(order).alias("_o"))
     total = firsts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
-    kept = cap_per_group(firsts, keys, ["_o"], max_samples).groupBy(*keys).agg(
+    some = firsts if max_samples is None else cap_per_group(firsts, keys, ["_o"], max_samples)
+    kept = some.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_o", "text"))), lambda s: s["text"]).alias("texts")
     )
     return total.join(kept, keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom import vocabulary as V
 from formloom.functions import text as X
+from formloom.session import stage
 
 
 def join_node(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
@@ -92,29 +93,29 @@ def tail_logs(logs: DataFrame, n: int, owner_id=None) -> DataFrame:
     return mine.orderBy(F.col("ts").desc(), F.col("log_id").desc()).limit(kept).orderBy("ts", "log_id")
 
 
-def nested_in_looped_table(elements: DataFrame, classified: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Nodes owned by a looped table: the nearest looped ancestor decides, and
-    row 0 stays out (it is the heading row above the loop).
+def nested_in_looped_table(elements: DataFrame, classified: DataFrame) -> DataFrame:
+    """Nodes owned by a looped table: any looped ancestor decides, and row 0 stays
+    out (it is the heading row above the loop).
 
-    Ancestors are found by pointer jumping: each round doubles the distance
-    walked, so depth 16 takes four joins, all keyed by (document, node)."""
+    Ancestors are found by pointer jumping: each round doubles the distance walked,
+    all keyed by (document, node), and is written to the shared folder.  Rounds go
+    on until no node has an ancestor left to look at, so depth has no limit."""
     keys = ["group_id", "doc_id"]
     looped = classified.where(
         (F.col("classification") == "REPEATABLE_TABLE")
     ).select(*keys, "node_id", F.lit(True).alias("looped"))
     nodes = elements.select(*keys, "node_id", "parent_node_id", "subtype").join(looped, [*keys, "node_id"], "left")
-    step = nodes.select(*keys, "node_id", "subtype", F.col("parent_node_id").alias("up"))
-    # ``up`` is the nearest ancestor not yet known to be looped, ``hit`` the verdict.
-    jump = nodes.select(*keys, F.col("node_id").alias("up"), F.col("parent_node_id").alias("next_up"),
-                        F.coalesce("looped", F.lit(False)).alias("up_hit"))
-    current = step.withColumn("hit", F.lit(False))
-    rounds = max(1, max_depth.bit_length() - 1)
-    for _ in range(rounds):
-        current = current.join(jump, [*keys, "up"], "left").select(
-            *keys, "node_id", "subtype", (F.col("hit") | F.coalesce("up_hit", F.lit(False))).alias("hit"), F.col("next_up").alias("up")
-        )
-        jump = jump.join(
-            jump.select(*keys, F.col("up").alias("next_up"), F.col("next_up").alias("nn"), F.col("up_hit").alias("nh")),
-            [*keys, "next_up"], "left",
-        ).select(*keys, "up", F.col("nn").alias("next_up"), (F.col("up_hit") | F.coalesce("nh", F.lit(False))).alias("up_hit"))
-    return current.where(F.col("hit") & (F.coalesce(X.cell_row("subtype"), F.lit(-1)) != 0)).select(*keys, "node_id")
+    # For each node: the farthest ancestor reached, whether a looped one lies on the way.
+    reach = nodes.where(F.col("parent_node_id").isNotNull()).select(
+        *keys, "node_id", "subtype", F.col("parent_node_id").alias("up"))
+    tops = nodes.select(*keys, F.col("node_id").alias("up"), F.coalesce("looped", F.lit(False)).alias("up_looped"))
+    reach = stage(reach.join(tops, [*keys, "up"], "left").select(
+        *keys, "node_id", "subtype", "up", F.coalesce("up_looped", F.lit(False)).alias("hit")), "nesting")
+    while True:
+        further = reach.select(*keys, F.col("node_id").alias("up"), F.col("up").alias("next_up"), F.col("hit").alias("next_hit"))
+        met = reach.join(further, [*keys, "up"], "left")
+        if met.where(F.col("next_up").isNotNull()).isEmpty():
+            break
+        reach = stage(met.select(*keys, "node_id", "subtype", F.coalesce("next_up", "up").alias("up"),
+                                 (F.col("hit") | F.coalesce("next_hit", F.lit(False))).alias("hit")), "nesting")
+    return reach.where(F.col("hit") & (F.coalesce(X.cell_row("subtype"), F.lit(-1)) != 0)).select(*keys, "node_id")

@@ -172,8 +172,11 @@ def render_documents(blocks: DataFrame, context: DataFrame, requests: DataFrame,
     """One row per rendered block: ``request_id, block_order, part, type, text,
     cells``.  A false condition drops its block; a missing value renders empty;
     a missing toggle shows its section."""
+    repeats = blocks.where("loop = 'block'").groupBy("group_id", "field_name").agg(
+        F.min("block_order").alias("group_first"), (F.max("block_order") - F.min("block_order") + 1).cast("bigint").alias("group_width"))
+    placed = blocks.join(repeats, ["group_id", "field_name"], "left")  # a few rows for each template
     per_request = requests.select("request_id", "template_id").distinct().join(
-        blocks.withColumnRenamed("group_id", "template_id"), "template_id")
+        placed.withColumnRenamed("group_id", "template_id"), "template_id")
     values = context.select("request_id", "field_name", "value", "rows", "items", "blocks")
     flags = context.where(F.col("field_type") == "boolean").select("request_id", F.col("field_name").alias("condition"), F.col("value").alias("on"))
     j = per_request.join(values, ["request_id", "field_name"], "left").join(flags, ["request_id", "condition"], "left")
@@ -184,22 +187,35 @@ def render_documents(blocks: DataFrame, context: DataFrame, requests: DataFrame,
     cell = lambda r: F.transform("columns", lambda c: F.coalesce(F.try_element_at(r, c), F.lit("")))
     header = F.when(F.coalesce("n_rows", F.lit(2)) > 1, F.array(F.col("headers"))).otherwise(F.array().cast("array<array<string>>"))
     grid = F.concat(header, F.coalesce(F.transform("rows", cell), F.array().cast("array<array<string>>")))
-    def part(kind, text, cells=None, sub=0):
-        return F.struct(kind.alias("type"), text.cast("string").alias("text"), (cells if cells is not None else F.lit(None)).cast("array<array<string>>").alias("cells"))
+    def part(kind, text, cells=None, item=None):
+        return F.struct(kind.alias("type"), text.cast("string").alias("text"), (cells if cells is not None else F.lit(None)).cast("array<array<string>>").alias("cells"),
+                        (item if item is not None else F.lit(0)).cast("int").alias("item"))
     kind = F.col("type")
     rich = F.transform("blocks", lambda b: part(F.concat(F.lit("rich_"), b["kind"]), R.without_emphasis(b["text"])))
     role = F.col("role")
+
+    def repeated(row: Column, item: Column) -> Column:
+        """One role of one item; a rich body gives several parts."""
+        value = F.coalesce(F.try_element_at(row, role), F.lit(""))
+        rich_parts = F.transform(R.blocks(value), lambda b: part(F.concat(F.lit("rich_"), b["kind"]), R.without_emphasis(b["text"]), item=item))
+        return F.when((role == "body") & R.is_rich(value), rich_parts).otherwise(F.array(part(kind, value, item=item)))
+
     parts = (
         F.when(F.col("loop") == "row", F.array(part(F.lit("table"), F.lit(""), grid)))
         .when(F.col("loop") == "paragraph", F.transform(F.coalesce("items", F.array().cast("array<string>")), lambda t: part(kind, t)))
-        .when(F.col("loop") == "block", F.transform(
-            F.coalesce("rows", F.array().cast(ROWS)), lambda r: part(kind, F.coalesce(F.try_element_at(r, role), F.lit("")))))
+        .when(F.col("loop") == "block", F.flatten(F.transform(F.coalesce("rows", F.array().cast(ROWS)), repeated)))
         .when(F.col("field_name").isNotNull() & F.col("blocks").isNotNull(), rich)
         .when(F.col("field_name").isNotNull(), F.array(part(kind, F.concat("prefix", F.coalesce("value", F.lit("")), "suffix"))))
         .otherwise(F.array(part(kind, F.coalesce("text", F.lit("")))))
     )
-    return j.select("request_id", "block_order", F.posexplode(parts).alias("part", "p")).select(
-        "request_id", "block_order", "part", "p.type", "p.text", "p.cells")
+    # The blocks of a repeated group stand at its first block and alternate item by
+    # item, so their parts are numbered by (item, block, position): in order, with gaps.
+    alternate = F.col("loop").eqNullSafe("block")
+    group_first = F.when(alternate, F.col("group_first"))
+    number = F.when(alternate, (F.col("p.item") * F.col("group_width") + F.col("block_order") - F.col("group_first")) * F.lit(1 << 20) + F.col("nth"))
+    return j.select("request_id", "block_order", "loop", "group_first", "group_width", F.posexplode(parts).alias("nth", "p")).select(
+        "request_id", F.coalesce(group_first, "block_order").alias("block_order"),
+        F.coalesce(number, "nth").cast("bigint").alias("part"), "p.type", "p.text", "p.cells")
 
 
 def rendered_text(rendered: DataFrame) -> DataFrame:

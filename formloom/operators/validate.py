@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formloom.functions import text as X
 from formloom.functions import values as N
@@ -91,67 +95,72 @@ def validate(context: DataFrame, fields: DataFrame, rules: DataFrame) -> DataFra
     Returns ``request_id, template_id, field_name, rule_id, severity, message,
     suggested_fix``.
     """
-    requests = context.select("request_id", "template_id").distinct()
     labelled = rules.join(
         fields.select("template_id", "field_name", "label"), ["template_id", "field_name"], "left"
     ).select(
-        "template_id", "field_name", F.coalesce("label", "field_name").alias("label"), "rule_id",
-        F.struct("rule_type", "params", "message", "severity").alias("rule"),
-    )
-    # One row per (request, rule).  Rules of a template are few; the requests
-    # side is the large one and may be dominated by one template (AQE splits it).
-    due = requests.join(labelled, "template_id").join(
-        context.where(F.col("field_name").isNotNull()).select("request_id", "field_name", "value", "rows"),
-        ["request_id", "field_name"], "left",
+        "template_id", F.struct("field_name", F.coalesce("label", "field_name").alias("label"), "rule_id",
+                                F.struct("rule_type", "params", "message", "severity").alias("rule")).alias("d"),
     )
-    return _findings(_with_bad_patterns(due))
-
-
-def _with_bad_patterns(due: DataFrame) -> DataFrame:
-    """A regex rule whose pattern does not compile is reported, not run."""
-    return due.withColumn("bad_pattern", F.when(
-        F.col("rule.rule_type") == "regex", ~pattern_compiles(F.col("rule.params.pattern"))
-    ).otherwise(False))
-
-
-def pattern_compiles(pattern: Column) -> Column:
-    """Whether a pattern held in data is safe to run: brackets and parentheses
-    balance and nothing dangles.  (The JVM raises on a bad pattern, which would
-    fail the job.)"""
-    plain = F.regexp_replace(pattern, r"\\.", "x")
-    no_sets = F.regexp_replace(plain, r"\[\^?\]?[^\]]*\]", "x")
-    opens = F.length(no_sets) - F.length(F.replace(no_sets, F.lit("("), F.lit("")))
-    closes = F.length(no_sets) - F.length(F.replace(no_sets, F.lit(")"), F.lit("")))
-    odd = no_sets.rlike(r"[\[\]]|^[*+?{]|[(|][*+{]|[*+?}][*+]{2}|\\$|^[^(]*\)|\(\?[^:=!<i]|\{[^0-9]|\{[0-9]+,?[0-9]*[^0-9,}]")
-    return F.coalesce((opens == closes) & ~odd, F.lit(True))
-
-
-def _findings(due: DataFrame) -> DataFrame:
-    kind, value, label = F.col("rule.rule_type"), F.col("value"), F.col("label")
-    empty = F.when(F.col("rows").isNotNull(), F.size("rows") == 0).otherwise(X.is_blank(value))
+    # A template's rules and a request's values are few, so both travel as arrays: the
+    # values are grouped once, and every rule is checked within the request's row.
+    due = labelled.groupBy("template_id").agg(F.collect_list("d").alias("due"))
+    given = F.when(F.col("field_name").isNotNull(), F.struct("field_name", "value", "rows"))
+    packed = context.groupBy("request_id", "template_id").agg(F.collect_list(given).alias("given"))
+
+    def checks(d: Column) -> Column:
+        """One check for each value of the rule's field, one of nothing where it has none."""
+        own = F.filter("given", lambda g: g["field_name"] == d["field_name"])
+        nothing = F.array(F.lit(None).cast(context.select(F.struct("field_name", "value", "rows").alias("g")).schema["g"].dataType))
+        return F.transform(F.when(F.size(own) > 0, own).otherwise(nothing), lambda g: F.struct(
+            d.alias("d"), g["value"].alias("value"), g["rows"].alias("rows")))
+
+    checked = packed.join(due, "template_id").select(
+        "request_id", "template_id", F.flatten(F.transform("due", checks)).alias("checks"))
+    pattern = F.transform("checks", lambda c: F.when(c["d"]["rule"]["rule_type"] == "regex", F.nullif(c["d"]["rule"]["params"]["pattern"], F.lit(""))))
+    matched = checked.withColumn("matches", _matched(pattern, F.transform("checks", lambda c: c["value"])))
+    issues = F.flatten(F.transform("checks", lambda c, i: F.transform(
+        _findings(c["d"]["rule"], c["d"]["label"], c["value"], c["rows"], F.get("matches", i)),
+        lambda issue: F.struct(c["d"]["field_name"].alias("field_name"), c["d"]["rule_id"].alias("rule_id"), issue.alias("issue")))))
+    return matched.select("request_id", "template_id", F.explode(issues).alias("x")).select(
+        "request_id", "template_id", "x.field_name", "x.rule_id", "x.issue.*")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _matched(patterns: pd.Series, values: pd.Series) -> pd.Series:
+    """yes, no, or bad for a pattern that does not compile; null without a pattern."""
+    def one(p: str | None, v: str | None) -> str | None:
+        if p is None:
+            return None
+        try:
+            return "yes" if re.fullmatch(p, v or "") else "no"
+        except (re.error, RecursionError, OverflowError):
+            return "bad"
+
+    return pd.Series([[one(p, v) for p, v in zip(ps, vs)] for ps, vs in zip(patterns, values)], dtype="object")
+
+
+def _findings(rule: Column, label: Column, value: Column, rows: Column, match: Column) -> Column:
+    """What one rule finds in one value, as an array."""
+    kind = rule["rule_type"]
+    empty = F.when(rows.isNotNull(), F.size(rows) == 0).otherwise(X.is_blank(value))
     quoted = F.concat(F.lit("'"), label, F.lit("'"))
-    rule = F.col("rule")
-    # Whole-value match; a bad pattern never reaches the regex engine.
-    pattern = F.when(~F.col("bad_pattern"), F.concat(F.lit("^(?:"), F.col("rule.params.pattern"), F.lit(r")\z")))
-    no_match = (kind == "regex") & (F.coalesce(F.col("rule.params.pattern"), F.lit("")) != "") & ~F.rlike(value, pattern)
     single = (
         F.when((kind == "required") & empty, _issue(
             rule["severity"], F.coalesce(F.nullif(rule["message"], F.lit("")), F.concat(quoted, F.lit(" is required"))),
             F.concat(F.lit("Provide a value for "), quoted, F.lit("."))))
         .when((kind == "required") | empty, None)
-        .when(F.col("bad_pattern"), _issue(F.lit("error"), F.concat(F.lit("Rule pattern of "), quoted, F.lit(" cannot be read"))))
-        .when(no_match, _issue(rule["severity"], F.coalesce(
+        .when(match == "bad", _issue(F.lit("error"), F.concat(F.lit("Rule pattern of "), quoted, F.lit(" cannot be read"))))
+        .when(match == "no", _issue(rule["severity"], F.coalesce(
             F.nullif(rule["message"], F.lit("")), F.concat(quoted, F.lit(" does not match the required format")))))
-        .when((kind == "table_schema") & F.col("rows").isNull(), _issue(
+        .when((kind == "table_schema") & rows.isNull(), _issue(
             rule["severity"], F.concat(quoted, F.lit(" must be a list of rows")), "Provide rows as a list of objects."))
         .otherwise(rule_failure(rule, label, value))
     )
-    many = F.when((kind == "table_schema") & ~empty & F.col("rows").isNotNull(), table_failures(rule, label, F.col("rows")))
-    found = F.concat(
+    many = F.when((kind == "table_schema") & ~empty & rows.isNotNull(), table_failures(rule, label, rows))
+    return F.concat(
         F.array_compact(F.array(single)).cast(f"array<{ISSUE}>"),
         F.coalesce(many, F.array().cast(f"array<{ISSUE}>")),
     )
-    return due.select("request_id", "template_id", "field_name", "rule_id", F.inline(found))
 
 
 def issue_summary(requests: DataFrame, issues: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def order_forms(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) ->
         F.array(
             p(0, F.lit(FORM_TITLE)),
             p(1, F.concat(F.lit("Order Number: "), F.col("o_orderkey").cast("string"))),
-            p(2, F.concat(F.lit("Customer Name: "), F.col("c_name"))),
+            p(2, F.concat(F.lit("Customer Name: "), F.coalesce("c_name", F.lit("")))),
             p(3, F.concat(F.lit("Order Date: "), F.date_format("o_orderdate", "yyyy-MM-dd"))),
             p(4, F.concat(F.lit("Status: "), F.col("o_orderstatus"))),
             F.when(shift == 1, p(5, F.lit(FORM_CLAUSE))),
@@ -172,7 +172,7 @@ def order_forms(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) ->
     # Both sides of this join grow with the data: shuffle on the order key, which
     # also spreads the form building over the cluster.
     joined = orders.join(
-        customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")
+        customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left"
     ).join(line_item_rows(lineitem).hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return joined.select(
         F.col("o_orderpriority").alias("group_id"),

@@ -1,34 +1,14 @@
-"""Streams: arriving files, running usage, scoring on arrival."""
+"""Streams: running usage, scoring on arrival."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators import accounting as A
 from formloom.operators.compliance import check_compliance
-from formloom.sources.docx import claim_incoming, documents_from_docx, parse_corpus, upload_problem
-
-FILE_DDL = "path string, modificationTime timestamp, length bigint, content binary"
-
-
-def ingest_stream(spark: SparkSession, path: str, owner_id: str, delay: str = "1 day") -> DataFrame:
-    """New files of an owner's incoming folder as documents, parsed once each;
-    an equal content hash within ``delay`` is a duplicate upload and dropped."""
-    files = spark.readStream.format("binaryFile").schema(FILE_DDL).option("recursiveFileLookup", "true").load(path)
-    named = claim_incoming(files, owner_id).select(
-        "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), "content")
-    docs = documents_from_docx(parse_corpus(named.where(upload_problem().isNull())), owner_id)
-    hashed = docs.withColumn("arrived", F.current_timestamp()).withColumn("content_hash", _hash())
-    return hashed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["content_hash"])
-
-
-def _hash():
-    joined = F.array_join(F.transform("elements", lambda e: F.concat(e["type"], F.lit(":"), F.coalesce(e["text"], F.lit("")), F.lit("\n"))), "")
-    return F.sha2(joined, 256)
-
 
 def usage_stream(calls: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Tumbling-window tokens and cost per owner and model.  ``calls(ts,

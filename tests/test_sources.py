@@ -1,73 +1,34 @@
-"""Word files, packages, JSON columns and streams on small inputs."""
-
-import io
-import zipfile
+"""Files, packages, JSON columns and streams on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from formloom.sources import docx as DX
+from formloom.sources import files as FL
 from formloom.sources import jsoncols as JC
 from formloom.sources import packages as PK
 from formloom.streaming import jobs as ST
 
-NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-
-
-def docx(body: str, **parts: str) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{body}</w:body></w:document>")
-        z.writestr("word/styles.xml", f'<w:styles {NS}><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style></w:styles>')
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
-
-
-def par(text, props=""):
-    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
-
 
-BODY = (
-    par("REPORT") + par("Summary", '<w:pStyle w:val="H1"/>')
-    + "<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val=\"2\"/></w:tcPr>" + par("Head") + "</w:tc></w:tr><w:tr><w:tc>" + par("a") + "</w:tc><w:tc>" + par("b") + "</w:tc></w:tr></w:tbl>"
-    + "<w:sdt><w:sdtContent>" + par("inside a control") + "</w:sdtContent></w:sdt>"
-    + '<w:p><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> TOC </w:instrText></w:r></w:p>' + par("1 Intro 3")
-    + '<w:p><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p>' + par("after")
-    + '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440"/></w:sectPr>'
-)
-
-
-def test_docx_corpus(spark, tmp_path):
-    (tmp_path / "good.docx").write_bytes(docx(BODY))
-    (tmp_path / "fake.docx").write_bytes(b"not a zip")
-    (tmp_path / "note.txt").write_text("x")
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("../evil.xml", "x")
-    (tmp_path / "evil.docx").write_bytes(out.getvalue())
-    files = DX.read_files(spark, str(tmp_path))
-    parsed = DX.parse_corpus(DX.read_docx_corpus(spark, str(tmp_path)))
-    reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in DX.reject_report(files, parsed).collect()}
-    assert set(reasons) == {"fake.docx", "note.txt", "evil.docx"}
-    assert "unsafe" in reasons["evil.docx"] and "Only .docx" in reasons["note.txt"]
-    doc = DX.documents_from_docx(parsed).first()
-    got = [(e.node_id, e.parent_node_id, e.type, e.subtype, e.text) for e in doc.elements]
-    assert got == [
-        ("n0001", None, "paragraph", None, "REPORT"), ("n0002", None, "heading", "1", "Summary"), ("n0003", None, "table", None, ""),
-        ("n0004", "n0003", "paragraph", "r0c0", "Head"), ("n0005", "n0003", "paragraph", "r1c0", "a"), ("n0006", "n0003", "paragraph", "r1c1", "b"),
-        ("n0007", None, "paragraph", None, "inside a control"), ("n0008", None, "field", "toc", ""), ("n0009", None, "paragraph", None, "1 Intro 3"),
-        ("n0010", None, "field", "toc", ""), ("n0011", None, "paragraph", None, "after"),
-    ]
-    assert doc.elements[2].table_structure.headers == ["Head", "Head"] and doc.elements[2].table_structure.merged_cells[0].colspan == 2
-    assert "toc" in doc.elements[8].semantic_hints and doc.elements[10].semantic_hints == []
-    meta = DX.document_meta(parsed).first()
-    assert meta.page_sections[0].page_width == 11906 and "word/document.xml" in meta.parts
-    assert {r.key.rsplit("/", 1)[1] for r in DX.stat_files(spark, str(tmp_path)).collect()} >= {"note.txt", "good.docx"}
+def test_files(spark, tmp_path):
+    box = tmp_path / "uploads" / "incoming" / "u1"
+    other = tmp_path / "x" / "uploads" / "incoming" / "u1"
+    for folder in (box, other):
+        folder.mkdir(parents=True)
+    (box / "good.DOCX").write_bytes(b"abc")
+    (box / "empty.docx").write_bytes(b"")
+    (other / "note.txt").write_text("x")
+    (other / "far.docx").write_bytes(b"x")
+    reasons = {r.key.rsplit("/", 1)[1]: r.reason for r in FL.reject_report(spark, str(tmp_path)).collect()}
+    assert reasons == {"empty.docx": "Uploaded file is empty", "note.txt": "Only .docx files are supported"}
+    got = FL.read_accepted(spark, str(tmp_path))
+    assert sorted((r.filename, r.size) for r in got.collect()) == [("far.docx", 1), ("good.DOCX", 3)]
+    assert [r.filename for r in FL.claim_incoming(got, "u1", str(tmp_path)).collect()] == ["good.DOCX"]
+    assert FL.stat_files(spark, str(tmp_path)).count() == 4
 
 
 def test_upload_checks(spark):
     rows = [("a.docx", 5), ("a.DOCX", 0), ("a.doc", 5), ("big.docx", 26 * 1024 * 1024)]
-    df = spark.createDataFrame(rows, "filename string, size bigint").withColumn("why", DX.upload_problem())
+    df = spark.createDataFrame(rows, "filename string, size bigint").withColumn("why", FL.upload_problem())
     assert [r.why for r in df.collect()] == [
         None, "Uploaded file is empty", "Only .docx files are supported", "File exceeds the 25 MB upload limit"]
 
@@ -81,6 +42,8 @@ def test_packages(spark, tmp_path):
     assert v == 2 and "v2 with 2 field(s)" in audit.first().summary
     assert [r.version for r in PK.list_versions(spark, base, "t1").collect()] == [1, 2]
     assert PK.read_package(spark, base, "fields", "t1").count() == 2
+    with pytest.raises(FileExistsError):
+        PK.write_package({"fields": fields}, base, "t1", 2)
     assert PK.read_package(spark, base, "fields", "t1", 1).count() == 1
     assert PK.read_package(spark, base, "fields").count() == 3
 
@@ -93,15 +56,6 @@ def test_json_columns(spark):
 
 
 def test_streams(spark, tmp_path):
-    box = tmp_path / "uploads" / "incoming" / "u1"
-    box.mkdir(parents=True)
-    (box / "one.docx").write_bytes(docx(BODY))
-    (box / "copy.docx").write_bytes(docx(BODY))
-    (box / "two.docx").write_bytes(docx(par("other")))
-    q = ST.ingest_stream(spark, str(tmp_path), "u1").writeStream.format("memory").queryName("arrived").option(
-        "checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("arrived").count() == 2
     src = tmp_path / "calls"
     spark.createDataFrame([("2026-01-01 00:10:00", "u", "gpt-4o-x", 1000000, 0), ("2026-01-01 00:20:00", "u", "gpt-4o-x", 0, 1000000)],
                           "ts string, owner_id string, model string, in_tokens bigint, out_tokens bigint").write.parquet(str(src))
