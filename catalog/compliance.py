@@ -191,7 +191,7 @@ def twice_judged(spark, d):
     j = K.apply_verdicts(r, verdict(2, "info", False).unionByName(verdict(1, "error", True)).unionByName(verdict(3, "odd", True)))
     sem = F.get(F.filter("dimensions", lambda x: x["name"] == "semantic"), F.lit(0))["score"]
     d0 = F.get("differences", F.lit(0))
-    return j.select("doc_id", sem.alias("semantic"), d0["severity"].alias("severity"), d0["message"].endswith(". reason 1. reason 2. reason 3").alias("folded"))
+    return j.select("doc_id", sem.alias("semantic"), d0["severity"].alias("severity"), F.coalesce(d0["message"].endswith(". reason 1. reason 2. reason 3"), F.lit(False)).alias("folded"))
 
 
 QUERIES = {
@@ -245,6 +245,15 @@ ORACLES = {
         UNION ALL SELECT 'missing', lower('{S.FORM_TERMS}'), count(*) FROM base WHERE m = '02'
         UNION ALL SELECT 'missing', lower('{S.FORM_CLAUSE}'), count(*) FROM base WHERE NOT big
         UNION ALL SELECT 'field_missing', 'customer name: ' || lower(r), count(*) FROM (SELECT b.*, first_value(c_name) OVER (PARTITION BY g ORDER BY NOT big, k) AS r FROM base b) WHERE m = '04' GROUP BY 2""",
+    "pattern_issues": """WITH c AS (SELECT c_custkey AS request_id, unnest([
+          {'rule_id': 'name:1', 'ok': regexp_full_match(c_name, 'Customer.[0-9]*[02468]'), 'f': 'Name'}, {'rule_id': 'name:2', 'ok': false, 'f': 'Name'},
+          {'rule_id': 'segment:1', 'ok': NULL, 'f': 'Segment'}, {'rule_id': 'segment:2', 'ok': regexp_matches(lower(c_mktsegment), '^[a-m]'), 'f': 'Segment'}], recursive := true) FROM customer)
+        SELECT request_id, rule_id, CASE WHEN ok IS NULL THEN 'error' ELSE 'warning' END AS severity,
+          CASE WHEN ok IS NULL THEN 'Rule pattern of ''Segment'' cannot be read' ELSE '''' || f || ''' does not match the required format' END AS message
+        FROM c WHERE ok IS NOT true""",
+    # Severity "odd" is not one, so the second verdict's stays; two of three were material.
+    "twice_judged": f"""{_DIFF} SELECT k::VARCHAR AS doc_id, CASE WHEN nd > 0 THEN 33.3::DOUBLE END AS semantic,
+        CASE WHEN nd > 0 THEN 'info' END AS severity, nd > 0 AS folded FROM sc""",
     "judged_compliance": f"""{_DIFF} SELECT k::VARCHAR AS doc_id, score, CASE WHEN nd > 0 THEN round(100 * (1 - nm / nd), 1) END AS semantic, nd AS n_differences,
         CASE WHEN nd > 0 THEN 'error' ELSE '' END AS severities FROM sc""",
     "repaired_forms": f"""{_DIFF} SELECT k::VARCHAR AS doc_id, (NOT big)::BIGINT + (m IN ('01', '02'))::BIGINT AS n_fixed, md5(array_to_string(list_filter([

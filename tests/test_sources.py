@@ -15,15 +15,14 @@ def test_files(spark, tmp_path):
     for folder in (box, other):
         folder.mkdir(parents=True)
     (box / "good.DOCX").write_bytes(b"abc")
-    (box / "empty.docx").write_bytes(b"")
     (other / "note.txt").write_text("x")
     (other / "far.docx").write_bytes(b"x")
     reasons = {r.key.rsplit("/", 1)[1]: r.reason for r in FL.reject_report(spark, str(tmp_path)).collect()}
-    assert reasons == {"empty.docx": "Uploaded file is empty", "note.txt": "Only .docx files are supported"}
+    assert reasons == {"note.txt": "Only .docx files are supported"}
     got = FL.read_accepted(spark, str(tmp_path))
     assert sorted((r.filename, r.size) for r in got.collect()) == [("far.docx", 1), ("good.DOCX", 3)]
     assert [r.filename for r in FL.claim_incoming(got, "u1", str(tmp_path)).collect()] == ["good.DOCX"]
-    assert FL.stat_files(spark, str(tmp_path)).count() == 4
+    assert FL.stat_files(spark, str(tmp_path)).count() == 3
 
 
 def test_upload_checks(spark):
