@@ -42,17 +42,16 @@ def _is_power(n: Column) -> Column:
     return n.bitwiseAND(n - 1) == 0
 
 
-#: What keeps a line from being its words with one blank between.
-_IRREGULAR = r"[\t\x0B\f\r]|^ |  | $"
-
-
 def _told(line: Column) -> Column:
     """A line as its words with one blank between."""
-    return F.when(line.rlike(_IRREGULAR), F.trim(F.regexp_replace(line, BLANKS, " "))).otherwise(line)
+    irregular = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for blank in "\t\x0b\f\r":
+        irregular = irregular | line.contains(blank)
+    return F.when(irregular, F.trim(F.regexp_replace(line, BLANKS, " "))).otherwise(line)
 
 
 def _n_words(told: Column) -> Column:
-    blanks = F.char_length(told) - F.char_length(F.replace(told, F.lit(" "), F.lit("")))
+    blanks = F.octet_length(told) - F.octet_length(F.replace(told, F.lit(" "), F.lit("")))
     return F.when(told == "", F.lit(0)).otherwise(blanks + 1)
 
 
@@ -82,11 +81,14 @@ def _keys(told: Column, n: Column) -> Column:
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every line with a word: _key, _doc (hash of the text), _line, told, n."""
+    # Told and counted before the lines are dealt out to rows, so that it is done once.
+    lines = F.transform(F.split("_text", "\n"), lambda line: let(
+        _told(line), lambda told: F.struct(told.alias("told"), _n_words(told).alias("n"))
+    ))
     return (
         docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"))
-        .select("_key", F.xxhash64("_text").alias("_doc"), F.posexplode(F.split("_text", "\n")).alias("_line", "_words"))
-        .select("_key", "_doc", "_line", _told(F.col("_words")).alias("told"))
-        .where("told <> ''").withColumn("n", _n_words(F.col("told")))
+        .select("_key", F.xxhash64("_text").alias("_doc"), F.posexplode(lines).alias("_line", "x"))
+        .where("x.n > 0").select("_key", "_doc", "_line", "x.told", "x.n")
     )
 
 
@@ -161,7 +163,8 @@ def _near(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
     places = found.select("h1", "h2", "place.null_key", "place._key", "place._doc", "place._line")
     ranked = numbered(places, ["null_key", "_key", "_doc", "_line", "h1", "h2"], "rank").select("h1", "h2", "rank")
     ranked = stage(found.drop("place").join(ranked, ["h1", "h2"]), "ranked-lines")
-    variants = ranked.select("rank", F.explode(_variants(F.col("ws"), F.col("n"), F.col("sides"))).alias("x")).select("rank", "x.v", "x.at")
+    variants = ranked.select("rank", F.explode(_variants(F.col("ws"), F.col("n"), F.col("sides"))).alias("x"))
+    variants = stage(variants.select("rank", "x.v", "x.at"), "line-variants")
     heads = variants.groupBy("v", "at").agg(F.min("rank").alias("head"), F.max("rank").alias("last")).where("head < last")
     replaced = variants.join(heads, ["v", "at"]).where("rank > head").select("rank", F.col("head").alias("witness"))
     wholes = ranked.select(_whole(F.col("ws")).alias("v"), F.col("rank").alias("shorter"))
