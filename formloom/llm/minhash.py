@@ -292,3 +292,28 @@ def near_duplicates(
         F.col("_key").alias(key), F.col("n").alias("n_shingles"), known.alias("component_id"),
         (known.isNull() | (known == F.col("_key"))).alias("kept"),
     )
+
+
+def oracle(shingle: int = 3, part: int = 85, whole: int = 100) -> str:
+    """The same result in SQL: every pair that shares a shingle is compared, links are
+    followed by recursion."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    window = " || ' ' || ".join(f"ws[i + {k}]" for k in range(shingle))
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'),
+                             lambda w: w <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - {shingle - 2}), lambda i: {window}) END) AS items FROM split
+), items AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {whole} * count(*) >= {part} * (a.n + b.n - count(*))
+), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach(doc_id, least) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION SELECT b, least FROM reach JOIN links ON a = doc_id WHERE least < b
+)
+SELECT doc_id, len(items) AS n_shingles, min(least) AS component_id, min(least) = doc_id AS kept
+FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, items"""

@@ -63,4 +63,6 @@ QUERIES = {f.__name__: f for f in (
     op1_html_main_text, op2_toxicity_chain, op3_bin_completion, op4_line_dedup, op5_minhash_near_dedup, op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
 )}
 
-ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op6_risk_rules": quality.ORACLE, "op7_source_mix": mixing.ORACLE}
+ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE, "op5_minhash_near_dedup": minhash.oracle(3, 85, 100), "op6_risk_rules": quality.ORACLE, "op7_source_mix": mixing.ORACLE,
+}
