@@ -100,3 +100,15 @@ def test_sql_slug_is_the_column_slug(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", slug("t").alias("want"), F.expr("slugify_field(t)").alias("got"))
     assert [(r.t, r.got) for r in df.collect()] == [(r.t, r.want) for r in df.collect()]
     assert df.first().got == "the_and"
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from pathlib import Path
+
+    from formloom.session import shared_dir, stage, staging
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "stage"
+    with staging(spark):
+        kept = stage(spark.range(3), "scoped").count()
+        assert list(folder.glob("scoped-*"))
+    assert kept == 3 and not list(folder.glob("scoped-*"))
