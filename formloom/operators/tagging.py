@@ -64,8 +64,9 @@ def enforce_tags_only(elements: DataFrame, classified: DataFrame) -> DataFrame:
         "_run_at", F.row_number().over(run.orderBy("doc_order"))
     ).withColumn(
         "_run_text",
-        F.array_join(F.slice(F.collect_list(X.stripped("text")).over(
-            run.orderBy("doc_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 1, 3), " "),
+        # Only the run's first three texts are gathered, however long the run is.
+        F.array_join(F.collect_list(F.when(F.col("_run_at") <= 3, X.stripped("text"))).over(
+            run.orderBy("doc_order").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), " "),
     )
     looped = (F.col("classification") == "REPEATABLE_TABLE") & F.col("field_name").isNotNull()
     data = F.col("table_node") & (looped | looks_like_data_table(F.col("table_structure")))
