@@ -107,6 +107,13 @@ def latest_shipments(spark, d):
     return R.latest_output(o, li)
 
 
+def project_members(spark, d):
+    """Nations as projects, their customers as templates."""
+    n = C.table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
+    t = C.table(spark, d, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("template_id"))
+    return R.project_templates(n, t).select("project_id", "name", "template_id")
+
+
 def projects_overview(spark, d):
     n = C.table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name"))
     t = C.table(spark, d, "customer").select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("created_at"))
@@ -192,7 +199,7 @@ def purged_owner(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     model_usage, owner_usage, merged_usage, owner_tokens, ai_plans, preview_plans, quotas, prune_files, recovered_jobs, audit_counts,
-    latest_shipments, projects_overview, inherited_context, error_log, log_tail, recent_orders, draft_edits, learned_lines,
+    latest_shipments, projects_overview, project_members, inherited_context, error_log, log_tail, recent_orders, draft_edits, learned_lines,
     stored_corrections, retyped_parts, purged_owner)}
 
 _CALLS = """calls AS (SELECT user_id AS owner_id, CASE event_type WHEN 'click' THEN 'gemini-2.5-flash-lite-preview-09-2025' WHEN 'view' THEN ' GPT-4o ' WHEN 'purchase' THEN 'gpt-4o-mini-2024' WHEN 'signup' THEN 'house-model' ELSE '?' END AS model,
@@ -227,6 +234,7 @@ ORACLES = {
     "error_log": "SELECT event_id AS log_id, 'User ' || user_id || ' error' AS message FROM events WHERE event_type = 'error' AND 'user ' || user_id LIKE 'user 1%'",
     "log_tail": "SELECT event_id AS log_id, event_type AS message FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "recent_orders": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "project_members": "SELECT n_nationkey AS project_id, n_name AS name, c_custkey AS template_id FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey",
     "draft_edits": f"""WITH c AS (SELECT DISTINCT conv_id, turn, role, {C.strip_sql('text')} AS t FROM conversations),
         e AS (SELECT a.conv_id || ':' || a.turn AS request_id, a.role AS field_name, a.t AS was, b.t AS now FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.t <> b.t),
         s AS (SELECT *, length(now) / greatest(length(was), 1) AS r, length(now) - length(replace(now, chr(10), '')) AS nn, length(was) - length(replace(was, chr(10), '')) AS wn,

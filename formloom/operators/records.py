@@ -64,6 +64,11 @@ def delete_project(templates: DataFrame, project_id) -> DataFrame:
     return templates.withColumn("project_id", F.when(F.col("project_id") != project_id, F.col("project_id")))
 
 
+def project_templates(projects: DataFrame, templates: DataFrame) -> DataFrame:
+    """Each project with its templates as rows, one with nulls where it has none."""
+    return projects.join(templates, "project_id", "left")
+
+
 def latest_output(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     """Each request with its newest output (null when there is none)."""
     newest = outputs.groupBy("request_id").agg(
