@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable
 
 #: Chunks remembered in one task before the memory is given back.
-CHUNK_CACHE = 400_000
+CHUNK_CACHE = 60_000
 #: Characters that normalisation leaves alone (but for case) in any Unicode version.
 _PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
 #: Python takes these as white space, the library does not.
