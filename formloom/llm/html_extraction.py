@@ -10,6 +10,7 @@ main text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -48,16 +49,86 @@ FEATURES = (
 )
 
 
-class _Blocks(HTMLParser):
-    """Flat blocks: text, linked characters, place."""
+class _Events(HTMLParser):
+    """A page's tags and texts in order, and where each hidden element ends.
+
+    Its own end tag ends a hidden element, if no block around it ends before.  One
+    without such an end hides nothing: what follows is the page, not its content.
+    Only an open script or style hides all that follows; an open title goes on to the next block.
+    A head is over at the first block; what else stands in it is hidden by itself.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.events: list[tuple[str, str, list]] = []  # kind, tag or text, attributes
+        self.ends: dict[int, int] = {}  # a hidden element's start: its end
+        self.open: list[tuple[str, int]] = []
+        self.count: Counter[str] = Counter()
+        self.body = False
+
+    def leave(self) -> tuple[str, int]:
+        tag, at = self.open.pop()
+        self.count[tag] -= 1
+        if tag == "title":
+            self.ends[at] = len(self.events)
+        return tag, at
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS:
+            while self.open and self.open[-1][0] in ("head", "title"):
+                self.leave()
+            if tag == "body" and not self.body:  # ends all that the head left open
+                self.body = True
+                while self.open and self.open[-1][0] != "html":
+                    self.leave()
+        if tag not in VOID and tag != "p" and (tag in BLOCKS or tag in HIDDEN):  # p is often ended without having been opened
+            self.open.append((tag, len(self.events)))
+            self.count[tag] += 1
+        self.events.append(("start", tag, attrs))
+
+    def handle_endtag(self, tag):
+        if self.count[tag]:
+            while (left := self.leave())[0] != tag:
+                pass
+            if tag in HIDDEN:
+                self.ends[left[1]] = len(self.events)
+        self.events.append(("end", tag, []))
+
+    def handle_data(self, data):
+        self.events.append(("text", data, []))
+
+    def finish(self) -> None:
+        self.close()
+        while self.open:
+            tag, at = self.leave()
+            if tag in ("script", "style"):
+                self.ends[at] = len(self.events)
+
+
+class _Blocks:
+    """Flat blocks: text, linked characters, place."""
+
+    def __init__(self, html: str) -> None:
         self.open: list[tuple[str, bool, bool]] = []  # tag, aside, article
-        self.hidden: list[str] = []
         self.link, self.text, self.linked = 0, [], 0
         self.heading = False
         self.blocks: list[tuple[str, int, bool, bool, bool]] = []
+        page = _Events()
+        page.feed(html)
+        page.finish()
+        take = {"start": self.start, "end": self.end, "text": self.data}
+        at = 0
+        while at < len(page.events):
+            kind, name, attrs = page.events[at]
+            if kind == "start" and at in page.ends:
+                self.text.append(" ")
+                at = page.ends[at]
+                # A title that a block ended has no end tag to pass over.
+                at += at < len(page.events) and page.events[at][:2] == ("end", name)
+                continue
+            take[kind](name, attrs)
+            at += 1
+        self.flush()
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -66,14 +137,9 @@ class _Blocks(HTMLParser):
             self.blocks.append((text, self.linked, aside, any(o[2] for o in self.open), self.heading))
         self.text, self.linked = [], 0
 
-    def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.append(tag)
-            return
+    def start(self, tag, attrs):
         if tag in HIDDEN:
             self.text.append(" ")
-            self.hidden.append(tag)
         elif tag == "a":
             self.link = 1  # links don't nest
         elif tag == "br":
@@ -95,11 +161,7 @@ class _Blocks(HTMLParser):
             self.open.append((tag, own or named and not (article and inside) or hidden, article))
             self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
-    def handle_endtag(self, tag):
-        if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.pop()
-            return
+    def end(self, tag, _):
         if tag == "a":
             self.link = 0
         elif tag in BLOCKS:
@@ -109,22 +171,15 @@ class _Blocks(HTMLParser):
                 while self.open.pop()[0] != tag:
                     pass
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.text.append(data)
-            if self.link:
-                self.linked += len("".join(data.split()))
+    def data(self, data, _):
+        self.text.append(data)
+        if self.link:
+            self.linked += len("".join(data.split()))
 
 
 def blocks_of(html: str) -> tuple[list[str], np.ndarray]:
     """The flat blocks of a page and their features, in page order."""
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    if parser.hidden and not parser.blocks:  # nothing but an unclosed script or head
-        return [], np.empty((0, len(FEATURES)))
-    parser.flush()
-    found = parser.blocks
+    found = _Blocks(html).blocks
     words = [len(b[0].split()) for b in found]
     links = [min(1.0, b[1] / max(1, len("".join(b[0].split())))) for b in found]
     has_article = any(b[3] for b in found)

@@ -45,6 +45,31 @@ def test_extraction_of_the_given_pages(spark):
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
 
 
+def test_unclosed_elements_hide_no_article():
+    """A head may go without its end tag; other hidden elements may lack theirs."""
+    tree = html_extraction.grow(*html_extraction.labelled_blocks())
+    story = [
+        "Salt and snow", "The road over the pass was closed for nine days, and the people of the valley walked to the mill for flour.",
+        "Nobody complained, for everyone had a sledge and most of them had a neighbour with a horse.",
+    ]
+    article = "<article><h1>{}</h1><p>{}</p><p>{}</p></article>".format(*story)
+    whole = [
+        f"<html><head><title>T</title><body>{article}", f"<html><head><title>T</title>{article}</html>",
+        f"<head><title>T<body>{article}</body>", f"<head><style>p{{}}</style><noscript><img src=x><body>{article}</body>",
+        f"<head><title>T</title></head><body>{article}<script>var x = '<p>never shown</p>'",
+        f"<body><svg><title>never shown</title><path/></svg>{article}<noscript><p>never shown</p></noscript></body>",
+    ]
+    for tag in ("object", "template", "canvas", "iframe", "svg", "video", "noscript"):
+        whole += [
+            f"<body><div><{tag} id=x></div>{article}</body>", f"<body><{tag} id=x>{article}</body>", f"<{tag}>{article}",
+            f"<body><div><{tag}><p>never shown</p></p></{tag}></div>{article}<{tag}>never shown</{tag}></body>",
+            f"<body><{tag}>{article}<div><{tag}>never shown</{tag}></div></body>",
+        ]
+    for page in whole:
+        assert html_extraction.main_text(page, tree).split("\n\n") == story, page
+    assert html_extraction.main_text("<html><head><title>T</title><script>x", tree) == ""
+
+
 # -- toxicity ------------------------------------------------------------------
 def test_chain_on_held_out_rows(spark):
     """Two categories, the second mostly where the first is; inflected words; a label twice."""
