@@ -32,7 +32,7 @@ CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"},
     "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
-#: Containers that are not main text, by tag and by words of class, id or role.
+#: Containers that are not main text, by tag and by the name that class, id or role gives them.
 ASIDE_TAGS = frozenset("nav header footer aside form button select textarea menu dialog fieldset label".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary "
@@ -41,6 +41,15 @@ ASIDE_WORDS = frozenset(
     "privacy promo promotion promoted recommended related reply replies respond search share sharing sidebar sign "
     "skip social sponsor sponsored subscribe subscription tags toolbar topbar warning widget widgets".split()
 )
+#: Sections that may well be longer than the text they stand beside.
+TALK_WORDS = frozenset("comment comments disqus feedback related recommended replies reply respond".split())
+#: Words after a name that leave its meaning as it is ("comment-list"), and words that make it one of another thing ("has-sidebar").
+NEUTRAL_WORDS = frozenset(
+    "area articles bar block body box button buttons card cards col column container content entry form group in info inner "
+    "item items left link links list outer panel posts right row section signup slot story stories text title to top up "
+    "wrap wrapper".split()
+)
+OTHER_WORDS = frozenset("category format has have hide no not show status tag type with without".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 FEATURES = (
@@ -105,14 +114,67 @@ class _Events(HTMLParser):
                 self.ends[at] = len(self.events)
 
 
+def aside_names(attrs: list, tag: str) -> set[str]:
+    """The aside words that a container's class, id and role call it by: each name's last
+    word, neutral words after it aside.  An article is called so by whole names only
+    ("comment", "comment-body"), as its classes also tell its topics ("news-alert")."""
+    names = set()
+    for k, v in attrs:
+        for name in v.split() if k in ("class", "id", "role") and v else ():
+            words = [w.lower() for w in _WORD.findall(name.split("--")[0])]
+            while len(words) > 1 and words[-1] in NEUTRAL_WORDS and words[-1] not in ASIDE_WORDS:
+                words.pop()
+            if words and words[-1] in ASIDE_WORDS and not OTHER_WORDS & set(words) and (tag != "article" or len(words) == 1):
+                names.add(words[-1])
+    return names
+
+
+class _Container:
+    """An open tag with what is known of it when the page has been read."""
+
+    __slots__ = ("tag", "up", "names", "hidden", "chars", "named", "aside", "article")
+
+    def __init__(self, tag: str, up: _Container | None, attrs: list) -> None:
+        self.tag, self.up, self.chars = tag, up, 0
+        self.names = aside_names(attrs, tag) if tag not in ("html", "body", "main") else set()
+        self.hidden = any(k == "hidden" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+
+
+def _judge(containers: list[_Container], total: int) -> None:
+    """Which containers are asides and articles, by all that they hold.
+
+    A name makes no aside of a container that holds the page's longest article or main
+    or most of its text.  Comments and the like are often articles themselves and may
+    outgrow a short text: they have to hold both, or nine tenths of the text.
+    ``containers``: in page order, so each after the one around it."""
+    for c in reversed(containers):
+        if c.up:
+            c.up.chars += c.chars
+    holders = set()
+    for kind in ("article", "main"):
+        c = max((c for c in containers if c.tag == kind and not c.names), key=lambda c: c.chars, default=None)
+        while c and id(c) not in holders:
+            holders.add(id(c))
+            c = c.up
+    for c in containers:
+        inside = bool(c.up and c.up.article)
+        holder, most = id(c) in holders, c.chars > 0.5 * total
+        text = (holder and most or c.chars > 0.9 * total) if c.names <= TALK_WORDS else holder or most
+        c.named = bool(c.names) and not text
+        own = c.tag in ASIDE_TAGS and not (c.tag == "header" and inside)
+        c.aside = bool(c.up and c.up.aside) or own or c.named or c.hidden
+        c.article = inside or c.tag in ("article", "main") and not c.named
+
+
 class _Blocks:
     """Flat blocks: text, linked characters, place."""
 
     def __init__(self, html: str) -> None:
-        self.open: list[tuple[str, bool, bool]] = []  # tag, aside, article
+        self.open: list[_Container] = []
+        self.containers: list[_Container] = []
         self.link, self.text, self.linked = 0, [], 0
         self.heading = False
-        self.blocks: list[tuple[str, int, bool, bool, bool]] = []
+        self.found: list[tuple[str, int, _Container | None, bool]] = []
         page = _Events()
         page.feed(html)
         page.finish()
@@ -129,12 +191,16 @@ class _Blocks:
             take[kind](name, attrs)
             at += 1
         self.flush()
+        _judge(self.containers, sum(len(f[0]) for f in self.found))
+        self.blocks = [(text, linked, bool(c and c.aside), bool(c and c.article), heading) for text, linked, c, heading in self.found]
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            aside = any(o[1] for o in self.open)
-            self.blocks.append((text, self.linked, aside, any(o[2] for o in self.open), self.heading))
+            around = self.open[-1] if self.open else None
+            if around:
+                around.chars += len(text)
+            self.found.append((text, self.linked, around, self.heading))
         self.text, self.linked = [], 0
 
     def start(self, tag, attrs):
@@ -150,15 +216,10 @@ class _Blocks:
             if tag in VOID:
                 return
             ends = CLOSES.get(tag, {"p"})
-            while self.open and self.open[-1][0] in ends:
+            while self.open and self.open[-1].tag in ends:
                 self.open.pop()
-            told = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v)}
-            inside = any(o[2] for o in self.open)
-            named = bool(told & ASIDE_WORDS) and tag not in ("html", "body", "main")
-            article = tag in ("article", "main") and not named
-            own = tag in ASIDE_TAGS and not (tag == "header" and inside)
-            hidden = any(k == "hidden" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
-            self.open.append((tag, own or named and not (article and inside) or hidden, article))
+            self.open.append(_Container(tag, self.open[-1] if self.open else None, attrs))
+            self.containers.append(self.open[-1])
             self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def end(self, tag, _):
@@ -167,8 +228,8 @@ class _Blocks:
         elif tag in BLOCKS:
             self.flush()
             self.heading = False
-            if any(o[0] == tag for o in self.open):
-                while self.open.pop()[0] != tag:
+            if any(o.tag == tag for o in self.open):
+                while self.open.pop().tag != tag:
                     pass
 
     def data(self, data, _):
@@ -288,6 +349,14 @@ LABELLED = (
     grandfather told me that he walked that road as a boy with his uncle and two mules.</p><p>Great read.</p><p>There is a
     mistake in the second part, the tunnel was opened two years later than you say.</p></div><footer><p>Filed under history by
     our own reporter in the mountains.</p></footer></article></main></body>""",
+    """<body><div id="page" class="has-sidebar"><div class="layout header-fixed"><article class="post comments-open"><h1>[[The mill]]</h1><p>
+    [[The mill by the weir has ground no corn for sixty years, but its wheel still turns when the water is high.]]</p><p>[[Come
+    and see it.]]</p></article><div class="comment-list"><p>My father worked there as a boy and told us of the dust and of the
+    noise.</p></div></div><div id="main-sidebar"><p>We are a club of eleven people who look after old mills and their
+    wheels.</p></div></div></body>""",
+    """<body class="sidebar"><div class="share-enabled search"><div>[[In the cellar the cheese lies on boards of pine for half a year, and each wheel
+    is turned and washed with brine every other day.]]</div><div>[[The rind tells its age, and a good nose can tell from which of the
+    three pastures the milk has come.]]</div><div class="share-buttons">Tell your friends of it</div></div></body>""",
     """<body><header><p>The voice of the valley since the year of the great flood, free and for everyone.</p></header><div
     class="alert"><p>The shop will be closed for the whole of next week because of work on the roof of the house.</p></div><p>
     [[The bees came back in March, three weeks before their time, and found no flower open in the whole valley.]]</p><p>[[We fed them

@@ -70,6 +70,34 @@ def test_unclosed_elements_hide_no_article():
     assert html_extraction.main_text("<html><head><title>T</title><script>x", tree) == ""
 
 
+def test_names_of_wrappers_and_of_asides():
+    """A class that tells a state or a layout makes no aside; neither does any name of what holds the text."""
+    tree = html_extraction.grow(*html_extraction.labelled_blocks())
+    story = [
+        "Salt and snow", "The road over the pass was closed for nine days, and the people of the valley walked to the mill for flour.",
+        "Nobody complained, for everyone had a sledge and most of them had a neighbour with a horse.",
+    ]
+    inner = "<h1>{}</h1><p>{}</p><p>{}</p>".format(*story)
+    talk = "<p>I was there as a child and I remember how the flour came down on a sledge in the night.</p>"
+    article = f"<article>{inner}</article>"
+    for page in (
+        f"<div id='page' class='has-sidebar'>{article}</div>", f"<div class='layout header-fixed'>{article}</div>",
+        f"<article class='post comments-open tag-alert'>{inner}</article>", f"<div class='share-enabled'>{article}</div>",
+        f"<div class='wrap search'>{article}</div>", f"<main><div class='sidebar'>{article}</div></main>",
+        f"<article class='post share'>{inner}</article>",
+    ):
+        for beside in (
+            "", f"<div class='comments-area'>{talk}</div>", f"<div id='comments'><article>{talk}</article></div>",
+            f"<div class='site-footer'>{talk}</div>", f"<ol class='comment-list'><li><article class='comment-body'>{talk}</article></ol>",
+        ):
+            assert html_extraction.main_text(f"<body>{page}{beside}</body>", tree).split("\n\n") == story, page + beside
+            plain = html_extraction.main_text(f"<body><div>{inner}</div>{beside}</body>", tree)
+            for name in ("sidebar", "layout--with-sidebar", "header-fixed"):
+                assert html_extraction.main_text(f"<body><div class='{name}'>{inner}</div>{beside}</body>", tree) == plain and story[1] in plain
+    long_talk = f"<div id='comments'>{talk * 6}</div>"
+    assert html_extraction.main_text(f"<body><div class='post'>{inner}</div>{long_talk}</body>", tree).split("\n\n") == story
+
+
 # -- toxicity ------------------------------------------------------------------
 def test_chain_on_held_out_rows(spark):
     """Two categories, the second mostly where the first is; inflected words; a label twice."""
