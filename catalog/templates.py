@@ -28,6 +28,17 @@ def form_diff(spark, d):
     )
 
 
+def form_node_values(spark, d):
+    """All texts, variable parts and picture hashes of every form node."""
+    r = D.corpus_values(C.forms(spark, d))
+    return r.select("group_id", "ri", "node_id", "type", "status", "text", "variable_part", "image_hash", "n_docs", "in_representative")
+
+
+def form_row_counts(spark, d):
+    r = D.corpus_row_counts(C.forms(spark, d))
+    return r.select("group_id", "ri", F.col("n_rows").cast(BIG).alias("n_rows"), "n_docs")
+
+
 def form_diff_summary(spark, d):
     s = D.diff_summary(D.diff_corpus(C.forms(spark, d)))
     return s.select("group_id", F.explode("summary").alias("status", "n_nodes"))
@@ -148,7 +159,7 @@ def brand_version_diff(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        form_diff, form_diff_summary, page_diff, part_skeletons, brand_values, form_classes, form_class_counts,
+        form_diff, form_node_values, form_row_counts, form_diff_summary, page_diff, part_skeletons, brand_values, form_classes, form_class_counts,
         form_fields, form_rules, form_doc_types, form_sections, page_classes, text_doubts, page_tags,
         line_field_names, brand_version_diff,
     )
@@ -205,6 +216,14 @@ ORACLES = {
         CASE WHEN n.type = 'table' THEN 'Part | Quantity | Price' ELSE rep_text END AS first_sample,
         CASE WHEN prefix IS NOT NULL THEN rep_text[length(prefix)+1:] END AS first_part
         FROM agg JOIN {_N} ON n.ri = agg.ri JOIN rep USING (group_id)""",
+    "form_node_values": f"""WITH {_DIFF_SQL}, told AS (
+        SELECT DISTINCT pos.group_id, pos.ri, pos.text, count(*) OVER w AS n_docs, bool_or(doc_seq = rep_seq) OVER w AS in_representative
+        FROM pos JOIN rep USING (group_id) WINDOW w AS (PARTITION BY pos.group_id, pos.ri, pos.text))
+        SELECT group_id, n.ri, 'n' || lpad((n.ri + 1)::VARCHAR, 4, '0') AS node_id, n.type, n.status, text,
+        CASE WHEN prefix IS NOT NULL THEN text[length(prefix)+1:] END AS variable_part, NULL::VARCHAR AS image_hash, n_docs, in_representative
+        FROM told JOIN {_N} ON n.ri = told.ri""",
+    "form_row_counts": f"""WITH {_DIFF_SQL} SELECT DISTINCT group_id, ri, n_lines + 1 AS n_rows, count(*) OVER (PARTITION BY group_id, ri, n_lines) AS n_docs
+        FROM pos WHERE type = 'table'""",
     "form_diff_summary": f"SELECT group_id, status, count(*) AS n_nodes FROM {_GROUPS} CROSS JOIN {_N} GROUP BY ALL",
     "part_skeletons": """WITH l AS (SELECT DISTINCT p_brand AS brand, p_type, p_size FROM part),
         s AS (SELECT brand, count(DISTINCT p_type) AS types, count(DISTINCT p_size) AS sizes, min(p_type) AS t, min(p_size)::VARCHAR AS z, count(*) AS n FROM l GROUP BY brand)

@@ -32,7 +32,7 @@ def node_values(aligned: DataFrame) -> DataFrame:
     """Distinct contents per (group, representative node) with how many
     documents have each and the first of them (the representative comes first).
 
-    This is the complete list: ``diff_corpus`` only previews it.  Pictures and
+    This is the complete list: ``diff_corpus`` only previews it (:func:`corpus_values`).  Pictures and
     tables are told apart by hash, so grids never travel.
     """
     e, ts = F.col("e"), F.col("e.table_structure")
@@ -165,15 +165,48 @@ def diff_corpus(documents: DataFrame, max_samples: int = 20) -> DataFrame:
     is_optional, is_constant, confidence, static_prefix, static_suffix,
     detected_kind, n_distinct, sample_texts, variable_parts, header_identical,
     row_count_variable, min_rows, max_rows, image_hashes, notes``.
-    ``sample_texts`` previews the first ``max_samples`` distinct values;
-    :func:`node_values` has them all.
+    ``sample_texts``, ``variable_parts`` and ``image_hashes`` are previews, made from
+    the first ``max_samples`` rows of :func:`node_values`; :func:`corpus_values` has
+    all texts, variable parts and picture hashes, :func:`corpus_row_counts` all row counts.
     """
+    laid_out, reps, aligned = _compared(documents)
+    return _decide(node_values(aligned), rep_nodes(laid_out, reps), max_samples)
+
+
+def _compared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their layouts, representatives of groups of two or more, documents aligned to them."""
     laid_out = with_layout(documents)
     layouts = stage(layouts_of(laid_out), "signatures")
     reps = representatives(layouts).where(F.col("n_documents") >= 2)
-    aligned = align_to(laid_out, reps, layouts)
+    return laid_out, reps, align_to(laid_out, reps, layouts)
+
+
+def corpus_values(documents: DataFrame) -> DataFrame:
+    """What the diff row previews, complete: one row per (group, representative node)
+    and distinct text and picture hash of its counterparts.
+
+    Columns: ``group_id, ri, node_id, type, status, text, variable_part, image_hash,
+    n_docs, in_representative, first_seq``; ``variable_part`` is the text without the
+    static ends, of nodes that have these; ``first_seq`` the first other document with it.
+    """
+    laid_out, reps, aligned = _compared(documents)
     values = node_values(aligned)
-    return _decide(values, rep_nodes(laid_out, reps), max_samples)
+    shapes = stage(
+        _decide(values, rep_nodes(laid_out, reps), 1).select(*NODE, "node_id", "type", "status", "static_prefix", "static_suffix"), "shapes"
+    )
+    told = values.groupBy(*NODE, "text", "image_hash").agg(
+        F.sum("n_docs").alias("n_docs"), (F.max("in_rep") == 1).alias("in_representative"), F.min("first_seq").alias("first_seq"),
+    )
+    return told.join(shapes, NODE).select(
+        *NODE, "node_id", "type", "status", "text",
+        middle(F.col("text"), F.col("static_prefix"), F.col("static_suffix")).alias("variable_part"),
+        "image_hash", "n_docs", "in_representative", "first_seq",
+    )
+
+
+def corpus_row_counts(documents: DataFrame) -> DataFrame:
+    """How many documents of each group have each row count, per table node (complete list)."""
+    return row_counts(_compared(documents)[2])
 
 
 def rep_nodes(laid_out: DataFrame, reps: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def analyze(documents: DataFrame, mode: str = "smart", max_samples: int = 20) ->
 
     ``mode`` is ``smart`` (what varies becomes a field) or ``tags_only`` (every
     text does).  What describes the templates (representative elements and the
-    evidence, a few rows per group) is staged, since all later parts read it.
+    evidence, a few rows per group) is staged, since all later parts read it.  The lists
+    in ``diffs`` are previews of ``max_samples`` values; ``diff.corpus_values`` has all.
     """
     if mode not in ("smart", "tags_only"):
         raise ValueError("mode is 'smart' or 'tags_only'")

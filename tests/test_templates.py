@@ -65,6 +65,27 @@ def test_diff_golden(docs):
     assert {r.confidence for r in rows.values()} == {0.75}
 
 
+def test_all_values_beyond_the_preview(spark):
+    """More differing documents than a diff row previews: every part, picture and row count is told."""
+    rows = [
+        ("report", f"d{i:02d}", i, [
+            el(0, "paragraph", "REPORT"), el(1, "paragraph", f"Project Name: Place {i // 2}"),
+            el(2, "image", "", image_ref={"hash": f"h{i}"}), el(3, "table", rows=[["Task"], *[["x"]] * (1 + i % 25)]),
+        ]) for i in range(60)
+    ]
+    docs = spark.createDataFrame(rows, DOCUMENT_DDL)
+    diffs = {r.ri: r for r in D.diff_corpus(docs).collect()}
+    got = D.corpus_values(docs).collect()
+    parts = {r.variable_part: r.n_docs for r in got if r.ri == 1}
+    assert parts == {f"Place {i}": 2 for i in range(30)} and diffs[1].static_prefix == "Project Name: "
+    pictures = [r.image_hash for r in got if r.ri == 2]
+    assert sorted(pictures) == sorted(f"h{i}" for i in range(60)) and {r.status for r in got if r.ri == 2} == {"image_changed"}
+    assert [(r.text, r.variable_part, r.n_docs, r.in_representative) for r in got if r.ri == 0] == [("REPORT", None, 60, True)]
+    assert sum(r.in_representative for r in got) == 4
+    counts = {r.n_rows: r.n_docs for r in D.corpus_row_counts(docs).collect()}
+    assert counts == {2 + k: 3 if k < 10 else 2 for k in range(25)}
+
+
 def test_fields_golden(analysis):
     got = {r.field_name: (r.field_type, r.classification, r.required) for r in analysis.fields.collect()}
     assert got == {
