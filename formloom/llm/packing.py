@@ -14,7 +14,8 @@ among the pieces of its length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from formloom.llm.common import numbered, text_of
 from formloom.llm.tokenization import encoder
 from formloom.session import stage
 
-#: Search nodes before the incumbent is taken, and fillings tried at each node.
-NODES, BRANCHES = 3000, 24
+#: Search nodes before the incumbent is taken, and fillings of each node made greedily, ahead of all others.
+NODES, GREEDY = 3000, 24
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -45,9 +46,9 @@ def _fits(small: tuple[int, ...], into: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Maximal fillings of ``room`` (lengths in falling order), least waste first,
-    without those that another one dominates."""
+def greedy_fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
+    """Some maximal fillings of ``room`` (lengths in falling order), least waste first,
+    without those that another one dominates: what :func:`fillings` begins with."""
     if room == 0:
         return [()]
     if counts[room]:
@@ -84,13 +85,57 @@ def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
     ordered = sorted(found, key=lambda f: (room - sum(f), len(f), [-x for x in f]))
     kept: list[tuple[int, ...]] = []
     for f in ordered:
-        if len(kept) == BRANCHES:
+        if len(kept) == GREEDY:
             break
         if len(f) > 8 or not any(_fits(f, k) for k in kept if len(k) <= 8):
             kept.append(f)
     return kept
 
 
+def fillings(counts: np.ndarray, room: int, spare: Callable[[], int]) -> Iterator[tuple[int, ...] | None]:
+    """All maximal fillings of ``room`` that no earlier one dominates: the greedy ones,
+    then the rest in order of waste as long as ``spare()`` allows it, made when asked for.
+    None for one that is left out, so that the caller can count the work."""
+    counts = counts.copy()
+    kept = greedy_fillings(counts, room)
+    yield from kept
+    if room == 0 or counts[room]:
+        return  # nothing, or one piece, dominates all
+    have = [int(a) for a in np.flatnonzero(counts[: room + 1])[::-1]]
+    many = {a: min(int(counts[a]), room // a) for a in have}
+    sums = [1]  # bit s: the lengths from here on can come to s
+    for a in reversed(have):
+        reach, c, k = sums[-1], many[a], 1
+        while c > 0:
+            reach |= reach << min(k, c) * a
+            c, k = c - k, 2 * k
+        sums.append(reach & ((2 << room) - 1))
+    sums.reverse()
+
+    def exact(i: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if rest == 0:
+            yield ()
+            return
+        while sums[i] >> rest & 1:
+            a = have[i]
+            i += 1
+            for t in range(min(many[a], rest // a), 0, -1):
+                if sums[i] >> rest - t * a & 1:
+                    for more in exact(i, rest - t * a):
+                        yield (a,) * t + more
+
+    for waste in range(room + 1):
+        if waste > spare():
+            return
+        for f in exact(0, room - waste):
+            more_fits = any(a <= waste and f.count(a) < many[a] for a in have)
+            if more_fits or f in kept or any(_fits(f, k) for k in kept if max(len(f), len(k)) <= 8):
+                yield None
+            else:
+                kept.append(f)
+                yield f
+
+
 def _take(counts: np.ndarray, bin_: tuple[int, ...]) -> int:
     """How often the counts allow a bin."""
     lengths, times = np.unique(bin_, return_counts=True)
@@ -130,12 +175,21 @@ def n_bins(patterns: list[Pattern]) -> int:
 
 def complete_bins(counts: np.ndarray, max_len: int, nodes: int = NODES) -> list[Pattern]:
     """Patterns that pack ``counts[length]`` pieces of each length: the best packing the
-    search finds within ``nodes`` nodes, proven least where it meets the lower bound
-    or the search ends by itself."""
+    search finds within ``nodes`` nodes among greedy fillings and as many among all of them,
+    from the better packing on.  It is proven least where it meets the lower bound,
+    or where the second search ends before its nodes do: no filling is left out but for its waste
+    or for one that dominates it, and each is also applied less often than it could be."""
     counts = counts.astype(np.int64).copy()
+    best = best_fit(counts, max_len)
+    for whole in (False, True):
+        best = _search(counts.copy(), max_len, nodes, best, whole)
+    return best
+
+
+def _search(counts: np.ndarray, max_len: int, nodes: int, best: list[Pattern], whole: bool) -> list[Pattern]:
+    """The best packing found, at first ``best``; uses up ``counts``."""
     total = int((counts * np.arange(len(counts))).sum())
     least = -(-total // max_len)
-    best = best_fit(counts, max_len)
     path: list[Pattern] = []
     frames: list[list] = []
     wasted = seen = 0
@@ -147,11 +201,31 @@ def complete_bins(counts: np.ndarray, max_len: int, nodes: int = NODES) -> list[
             return False
         big = int(left[-1])
         counts[big] -= 1
-        options = fillings(counts, max_len - big)
+        options = fillings(counts, max_len - big, spare) if whole else iter(greedy_fillings(counts, max_len - big))
+        first = next(options)
         counts[big] += 1
-        frames.append([big, iter(options), None])
+        frames.append([big, tried(big, chain([first], options)), None])
         return True
 
+    def spare() -> int:
+        """The waste left to a packing of fewer sequences than the incumbent."""
+        return (n_bins(best) - 1) * max_len - total - wasted
+
+    def tried(big: int, options: Iterator) -> Iterator:
+        """Fillings as often as they go, then all of them less often."""
+        often = []
+        for f in options:
+            if f is not None:
+                times = _take(counts, (big, *f))
+                if whole and times > 1:
+                    often.append((f, times))
+                yield f, times
+            else:
+                yield None
+        for f, most in often:
+            for times in range(most - 1, 0, -1):
+                yield f, times
+
     if n_bins(best) > least:
         descend()
     while frames and n_bins(best) > least and seen < nodes:
@@ -162,14 +236,15 @@ def complete_bins(counts: np.ndarray, max_len: int, nodes: int = NODES) -> list[
             wasted -= times * (max_len - sum(bin_))
             path.pop()
             frame[2] = None
-        filling = next(frame[1], None)
-        if filling is None:
+        option = next(frame[1], ())
+        if option == ():
             frames.pop()
             continue
         seen += 1
-        bin_ = (frame[0], *filling)
-        times = _take(counts, bin_)
-        if wasted + times * (max_len - sum(bin_)) > (n_bins(best) - 1) * max_len - total:
+        if option is None:
+            continue
+        bin_, times = (frame[0], *option[0]), option[1]
+        if times * (max_len - sum(bin_)) > spare():
             continue  # can't need fewer sequences than the incumbent
         _apply(counts, bin_, times)
         wasted += times * (max_len - sum(bin_))

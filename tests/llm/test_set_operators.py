@@ -219,6 +219,17 @@ def test_bin_completion_is_least():
         assert packing.n_bins(found) == least_bins(items, 100)
 
 
+def test_fillings_beyond_the_greedy_ones():
+    """Without small pieces: packings that waste nothing, of three and more pieces a sequence."""
+    for least, items in (
+        (5, [350, 331, 311, 291, 290, 284, 280, 277, 271, 249, 243, 231, 207, 192, 181, 171, 168, 167, 164, 155, 155, 152]),
+        (6, [389, 366, 359, 341, 323, 315, 302, 294, 291, 291, 284, 273, 272, 237, 215, 211, 196, 179, 179, 177, 173, 165, 156, 156]),
+    ):
+        found = packing.complete_bins(np.bincount(items, minlength=1025), 1024)
+        assert packing.n_bins(found) == least
+        assert Counter(x for b, n in found for x in b for _ in range(n)) == Counter(items) and all(sum(b) <= 1024 for b, _ in found)
+
+
 # -- mixing ----------------------------------------------------------------------
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
