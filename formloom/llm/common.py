@@ -89,3 +89,22 @@ def maybe_in(rows: DataFrame, column: str, summary: DataFrame, out: str) -> Data
     )
     tested = joined.select(*names, octet.alias("_octet"), at.alias("_at"))
     return tested.select(*names, F.coalesce(bit == 1, F.lit(False)).alias(out))
+
+
+#: A key that holds more than one in so many rows counts as hot; so fewer keys than this are.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` joined to the one row of ``table`` for their non-null ``key``.
+
+    ``weight`` says how many of ``rows`` each key has.  Keys with more than a
+    thousandth of them, fewer than a thousand by arithmetic, are broadcast; the
+    others are joined by a shuffle in which none of them can fill a task.
+    """
+    table = stage(table, "keyed")
+    total = F.broadcast(table.agg(F.sum(weight).alias("_total")))  # one row
+    split = table.crossJoin(total).withColumn("_hot", F.col(weight) * HOT_SHARE > F.col("_total")).drop("_total")
+    hot, cold = split.where("_hot").drop("_hot", weight), split.where("not _hot").drop("_hot", weight)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from formloom.llm import html_extraction, line_dedup, merkle, minhash, mixing, packing, quality, sharding, token_counts, toxicity
+from formloom.llm import (
+    html_extraction, line_dedup, merkle, minhash, mixing, packing, quality, sharding, token_counts, toxicity, turn_repair,
+    url_filter, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +63,26 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(turns, live=F.col("live"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_html_main_text, op2_toxicity_chain, op3_bin_completion, op4_line_dedup, op5_minhash_near_dedup, op6_risk_rules, op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards,
+    op1_html_main_text, op2_toxicity_chain, op3_bin_completion, op4_line_dedup, op5_minhash_near_dedup, op6_risk_rules,
+    op7_source_mix, op8_token_counts, op9_merkle_prints, op10_feistel_shards, op11_turn_repair, op12_whitening,
+    op13_host_reputation,
 )}
 
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE, "op5_minhash_near_dedup": minhash.oracle(3, 85, 100), "op6_risk_rules": quality.ORACLE, "op7_source_mix": mixing.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE, "op13_host_reputation": url_filter.ORACLE,
 }
