@@ -255,9 +255,11 @@ def near_duplicates(
     """
     bands = bands_for(part / whole)
     texts = docs.select(F.col(key).cast("bigint").alias("_key"), text_of(text).alias("_text"))
-    sketched = stage(
-        texts.mapInPandas(_sketcher(shingle, bands), "_key bigint, n bigint, digest binary, bands array<bigint>"), "sketches"
+    # Keys travel as text: pandas would turn bigints beside a null into doubles.
+    told = texts.withColumn("_key", F.col("_key").cast("string")).mapInPandas(
+        _sketcher(shingle, bands), "_key string, n bigint, digest binary, bands array<bigint>"
     )
+    sketched = stage(told.withColumn("_key", F.col("_key").cast("bigint")), "sketches")
     classes = sketched.where("n > 0 and _key is not null").groupBy("digest").agg(
         F.min("_key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )

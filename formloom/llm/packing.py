@@ -275,7 +275,8 @@ def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]
 
 
 # -- pieces --------------------------------------------------------------------
-PIECES = "key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: Keys travel as text: pandas would turn bigints beside a null into doubles.
+PIECES = "key string, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def _pieces(path: str, max_len: int, end: int):
@@ -289,9 +290,7 @@ def _pieces(path: str, max_len: int, end: int):
                 cuts = [0, *range(first, len(ids) + 1, max_len)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            out = pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32"])
-            out["key"] = out["key"].astype(batch["key"].dtype if len(out) else object)
-            yield out
+            yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -314,9 +313,10 @@ def pack(
     are ignored.
     """
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("key"), text_of(text).alias("_text"))
-    pieces = stage(texts.mapInPandas(_pieces(tokenizer, max_len, end), PIECES.format(kind=kind)), "pieces")
+    kind = docs.schema[key].dataType
+    texts = docs.select(F.col(key).cast("string").alias("key"), text_of(text).alias("_text"))
+    cut = texts.mapInPandas(_pieces(tokenizer, max_len, end), PIECES)
+    pieces = stage(cut.withColumn("key", F.col("key").cast(kind)), "pieces")
     sums = pieces.groupBy("length").count().collect()  # at most max_len rows
     counts = np.zeros(max_len + 1, np.int64)
     for row in sums:

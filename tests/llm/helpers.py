@@ -24,6 +24,8 @@ def odd_rows():
         (4, " \t\n\n ", "en", None), (5, long, "de", "b"), (6, "same\nsame\nother", "en", "a"), (6, "same\nsame\nother", "en", "a"),
         (6, "a different text under the same id", "fr", "c"), (None, "no id here", "en", None), (7, "Ünïcode 漢字 \U0001f600 x", "en", "a"),
         (8, "one two three four five six seven eight nine ten", None, "a"),
+        (2**60 + 1, "far ids differ in their last digits only, so they must not become doubles", "en", "a"),
+        (2**60 + 3, "ids that pandas would round beside a null one in the same batch of rows", "en", "a"),
     ]
 
 
