@@ -1,6 +1,8 @@
 """Public tokenizers inside tasks: the libraries' own results, faster on long tables.
 
-Texts are cut where the tokenizer is known to cut (at white space), and each
+Where a byte-level vocabulary is ranked, a text of plain Latin letters and blanks goes
+as a whole through a faster merge loop with the same word pattern.  Other texts are
+cut where the tokenizer is known to cut (at white space), and each
 distinct chunk is encoded once for each task.  A chunk of plain Latin letters goes
 straight to the library's merge model; any other chunk goes through the whole
 library pipeline, as does any text with separators on which Python and the
@@ -17,10 +19,15 @@ from collections.abc import Callable
 CHUNK_CACHE = 60_000
 #: Characters that normalisation leaves alone (but for case) in any Unicode version.
 _PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]*")
+_PLAIN_TEXT = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: The merge loop's word pattern keeps a stack for runs of blanks; longer ones go to the library.
+_LONG_BLANKS = re.compile("[\t\n\r ]{4096}")
 #: Python takes these as white space, the library does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WITH_BLANKS, _WITHOUT_BLANKS = re.compile(r"\s*\S+|\s+"), re.compile(r"\S+")
-# The word patterns of the two tokenizer families, over plain characters.
+# The word patterns of the two tokenizer families, over plain characters
+# (the first also with blanks, as the merge loop takes it).
+_BYTE_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE_WORDS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+| +(?![^ ])| +"
 )
@@ -47,7 +54,7 @@ def _by_rank(model: dict, letters: dict[int, str]) -> Callable[[str], list[int]]
     octets = {c: b for b, c in letters.items()}
     ranks = {bytes([octets[c] for c in w]): i for w, i in vocab.items() if i < 256 + len(merges)}
     return tiktoken.Encoding(
-        "ranked", pat_str=_BYTE_WORDS.pattern, mergeable_ranks=ranks, special_tokens={}
+        "ranked", pat_str=_BYTE_TEXT, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
 
 
@@ -77,7 +84,7 @@ def json_encoder(path: str) -> Callable[[str], list[int]]:
     ranked = None if lower else _by_rank(told["model"], letters)
 
     def chunk_ids(chunk: str) -> list[int]:
-        if not _PLAIN.fullmatch(chunk) or special.search(chunk):
+        if not _PLAIN.fullmatch(chunk) or special.search(chunk) or _LONG_BLANKS.search(chunk):
             return whole(chunk)
         if ranked:
             return ranked(chunk)
@@ -91,6 +98,8 @@ def json_encoder(path: str) -> Callable[[str], list[int]]:
         return out
 
     def encode(text: str) -> list[int]:
+        if ranked and _PLAIN_TEXT.fullmatch(text) and not special.search(text) and not _LONG_BLANKS.search(text):
+            return ranked(text)
         if _ODD.search(text):
             return whole(text)
         if len(chunks) > CHUNK_CACHE:

@@ -122,6 +122,8 @@ def test_ids_are_the_librarys(path):
     library, encode = Tokenizer.from_file(path), tokenization.encoder(path)
     rng = random.Random(6)
     texts = ODD + ["".join(rng.choice(["a", "B", "é", " ", "  ", "\n", "'ll", "9", "?", "漢", "\t", "<|endoftext|>"]) for _ in range(40)) for _ in range(300)]
+    texts += ["".join(rng.choice("aBé '\t\n\r  lls9?#ÿ") for _ in range(30)) for _ in range(2000)]
+    texts += [blank * 20_000 + "end" for blank in (" ", "\n", " \t")] + ["x" * 20_000, "a " * 9000]
     for t in texts:
         assert encode(t) == library.encode(t, add_special_tokens=False).ids, t
 
