@@ -83,6 +83,27 @@ def upper_bound(a: Column, b: Column) -> Column:
     return F.when(la + lb == 0, 1.0).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
+#: Letters of slugs; others count as none, which only loosens the bound below.
+SLUG_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+
+
+def letter_counts(text: Column | str) -> Column:
+    """How often each of :data:`SLUG_LETTERS` occurs, then how many other characters."""
+    t = as_col(text)
+    return F.concat(
+        F.array(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in SLUG_LETTERS]),
+        F.array(F.length(F.translate(t, SLUG_LETTERS, ""))),
+    )
+
+
+def letters_bound(a: Column, b: Column) -> Column:
+    """No ratio of two texts with these :func:`letter_counts` can exceed this: matched
+    characters are shared characters."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, v: n + v)
+    both = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return F.when(total(a) + total(b) == 0, 1.0).otherwise(2.0 * both / (total(a) + total(b)))
+
+
 def similar_enough(a: Column | str, b: Column | str, threshold: float, *, autojunk: bool = True) -> Column:
     """``similarity(a, b) >= threshold`` with hopeless pairs decided in the JVM."""
     left, right = as_col(a), as_col(b)

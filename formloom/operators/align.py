@@ -85,6 +85,21 @@ def _match_layouts(rep: pd.Series, other: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _anchors(pairs: pd.Series, sigs: pd.Series) -> pd.Series:
+    """For each representative position, the last aligned position before it that is
+    not a table, or -1: one pass over a layout."""
+    def one(pair, sig):
+        out, last = [], -1
+        for j in pair:
+            out.append(last)
+            if j >= 0 and not sig[j].startswith("t:"):
+                last = int(j)
+        return out
+
+    return pd.Series([one(p, s) for p, s in zip(pairs, sigs)])
+
+
 def pick_representative(documents: DataFrame) -> DataFrame:
     """``(group_id, rep_seq, n_documents)``: the document with the most top-level
     elements, ties to the earliest.  Two hash aggregations, both combined
@@ -128,7 +143,8 @@ def representatives(layouts: DataFrame) -> DataFrame:
 
 def layout_pairs(layouts: DataFrame, reps: DataFrame) -> DataFrame:
     """``pairs ARRAY<INT>`` per (group, layout): position in the document for
-    each representative position.  Equal layouts skip Python.  ``reps`` needs
+    each representative position, and ``anchors``, the last lined-up position before
+    it that is no table.  Equal layouts are aligned without Python.  ``reps`` needs
     ``group_id, rep_sigs``; its other columns are carried along."""
     joined = layouts.join(reps, "group_id")
     same = F.col("sigs") == F.col("rep_sigs")
@@ -138,7 +154,7 @@ def layout_pairs(layouts: DataFrame, reps: DataFrame) -> DataFrame:
     matched = _match_layouts.asNondeterministic()(F.when(~same, F.col("rep_sigs")), F.when(~same, F.col("sigs")))
     return joined.withColumn("_matched", matched).withColumn(
         "pairs", F.when(same, identity).otherwise(F.col("_matched"))
-    ).drop("sigs", "_matched", "n_docs", "first_seq")
+    ).withColumn("anchors", _anchors(F.col("pairs"), F.col("sigs"))).drop("sigs", "_matched", "n_docs", "first_seq")
 
 
 def align_to(laid_out: DataFrame, reps: DataFrame, layouts: DataFrame | None = None) -> DataFrame:

@@ -2,33 +2,52 @@
 
 A template travels as one row per group with an array of node specs; a document
 is one row with its element array.  After the layout join everything is narrow:
-scores come out per document without another shuffle.
+scores come out per document without another shuffle.  A document may be held
+against several templates or versions: :func:`candidate_templates` finds those that
+share enough of its layout, :func:`check_assigned` scores every assignment.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom import vocabulary as V
 from formloom.functions import similarity as S
 from formloom.functions import text as X
-from formloom.operators.align import align_signature, align_to, with_layout
-from formloom.operators.fields import rules_of_field
-from formloom.operators.validate import rule_failure
+from formloom.operators.align import align_signature, align_to, layouts_of, with_layout
+from formloom.operators.fields import RULE, rules_of_field
+from formloom.operators.validate import pattern_failure, pattern_matches, rule_failure
+from formloom.session import stage
 
 DIMENSIONS = ("structure", "fields", "tables")
 
 
-def template_specs(representative: DataFrame, classified: DataFrame, fields: DataFrame) -> DataFrame:
+def template_specs(representative: DataFrame, classified: DataFrame, fields: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per group: ``rep_sigs`` and ``specs`` (what each representative
-    node expects), in representative order.  Toggles and pictures own no value."""
-    ruled = fields.withColumn("f_rules", F.filter(rules_of_field(), lambda r: r["rule_type"] != "required"))
-    owner = ruled.where(~F.col("field_type").isin("boolean", "image")).select(
-        "group_id", F.explode("node_ids").alias("node_id"), F.col("field_name").alias("f_name"), "label",
-        F.col("required").alias("f_required"), "field_type", "columns", "field_order",
-        "f_rules",
+    node expects), in representative order.  Toggles and pictures own no value; of
+    several fields that claim a node the last one owns it.
+
+    ``rules(group_id, field_name, rule_id, rule_type, params, message, severity[,
+    rule_order])`` are the rules to hold values against, as edited or published; by
+    default they are those that follow from the fields."""
+    ruled = fields.where(~F.col("field_type").isin("boolean", "image"))
+    if rules is None:
+        ruled = ruled.withColumn("f_rules", F.filter(rules_of_field(), lambda r: r["rule_type"] != "required"))
+    else:
+        order = "rule_order" if "rule_order" in rules.columns else "rule_id"
+        rule = F.struct("rule_id", "rule_type", "params", "message", "severity").cast(RULE)
+        given = rules.where("rule_type <> 'required'").groupBy("group_id", "field_name").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("rule_id").alias("i"), rule.alias("r")))),
+                        lambda x: x["r"]).alias("f_rules"))  # a field's own rules, few
+        ruled = ruled.join(given, ["group_id", "field_name"], "left").withColumn(
+            "f_rules", F.coalesce("f_rules", F.array().cast(f"array<{RULE}>")))
+    claims = ruled.select(
+        "group_id", F.explode("node_ids").alias("node_id"), "field_order", F.struct(
+            F.col("field_name").alias("f_name"), "label", F.col("required").alias("f_required"), "field_type", "columns",
+            "field_order", "f_rules").alias("f"),
     )
+    owner = claims.groupBy("group_id", "node_id").agg(F.max_by("f", "field_order").alias("f")).select("group_id", "node_id", "f.*")
     cls = classified.select("group_id", "node_id", "classification", F.col("field_name").alias("c_name"),
                             F.col("required").alias("c_required"), "static_prefix", "static_suffix", "optional")
     top = representative.where(F.col("parent_node_id").isNull()) if "parent_node_id" in representative.columns else representative
@@ -37,7 +56,7 @@ def template_specs(representative: DataFrame, classified: DataFrame, fields: Dat
         F.col("table_structure.headers").alias("headers"), "classification",
         F.coalesce("f_name", "c_name", "node_id").alias("name"), F.coalesce("f_required", "c_required").alias("required"),
         "static_prefix", F.col("f_name").isNotNull().alias("has_field"), F.coalesce("label", F.lit("")).alias("label"),
-        "field_type", "f_rules", "columns", "field_order", "optional",
+        "field_type", F.coalesce("f_rules", F.array().cast(f"array<{RULE}>")).alias("f_rules"), "columns", "field_order", "optional",
     )
     joined = top.join(cls, ["group_id", "node_id"], "left").join(owner, ["group_id", "node_id"], "left")
     sig = align_signature(F.struct("type", "text", "style_name", "table_structure", "image_ref"))
@@ -90,7 +109,28 @@ def compare(documents: DataFrame, templates: DataFrame) -> DataFrame:
             X.extract_value(e["text"], s["static_prefix"]).alias("value"),
         )
 
-    return step.select("group_id", "doc_id", "doc_seq", "tops", "pairs", F.transform("specs", node).alias("nodes"))
+    # Patterns are data, so all of a document's are matched at once and handed back in order.
+    step = step.withColumn("nodes", F.transform("specs", node))
+    patterned = F.filter("nodes", lambda n: F.exists(n["s"]["f_rules"], lambda r: r["rule_type"] == "regex"))
+    asked = F.flatten(F.transform(patterned, lambda n: F.transform(
+        F.filter(n["s"]["f_rules"], lambda r: r["rule_type"] == "regex"),
+        lambda r: F.struct(F.nullif(r["params"]["pattern"], F.lit("")).alias("p"), n["value"].alias("v")))))
+    step = step.withColumn("_asked", asked)
+    due = F.size("_asked") > 0
+    step = step.withColumn("_told", pattern_matches(
+        F.when(due, F.transform("_asked", lambda a: a["p"])), F.when(due, F.transform("_asked", lambda a: a["v"]))))
+    answers = F.map_from_entries(F.array_distinct(F.coalesce(
+        F.transform(F.arrays_zip(F.col("_asked").alias("a"), F.col("_told").alias("t")), lambda z: F.struct(
+            _pattern_key(z["a"]["p"], z["a"]["v"]).alias("k"), z["t"].alias("t"))),
+        F.array().cast("array<struct<k:string,t:string>>"))))
+    return step.withColumn("matches", answers).select(
+        "group_id", "doc_id", "doc_seq", "tops", "pairs", "anchors", "nodes", "matches")
+
+
+def _pattern_key(pattern: Column, value: Column) -> Column:
+    """One name for a pattern with the value it is matched to."""
+    p, v = F.coalesce(pattern, F.lit("")), F.coalesce(value, F.lit(""))
+    return F.concat(F.length(p).cast("string"), F.lit(":"), p, v)
 
 
 def _result(dim: str, weight: Column, got: Column, difference: Column) -> Column:
@@ -141,15 +181,20 @@ def score_fixed(n: Column) -> Column:
     )
 
 
-def score_field(n: Column) -> Column:
-    """A value: weight 2 when required, else 1; a badly formed one counts half."""
+def score_field(n: Column, matches: Column) -> Column:
+    """A value: weight 2 when required, else 1; a badly formed one counts half.
+    ``matches`` holds the answers of the regex rules."""
     s = n["s"]
     weight = F.when(s["required"], 2.0).otherwise(1.0)
     quoted = F.concat(F.lit("“"), s["name"], F.lit("”"))
     value = F.coalesce(n["value"], F.lit(""))
-    problem = F.get(
-        F.array_compact(F.transform(s["f_rules"], lambda r: rule_failure(r, s["label"], value))), F.lit(0)
-    )
+
+    def failure(r: Column) -> Column:
+        answer = F.try_element_at(matches, _pattern_key(r["params"]["pattern"], n["value"]))
+        pattern = F.when((r["rule_type"] == "regex") & (F.coalesce(r["params"]["pattern"], F.lit("")) != ""), answer)
+        return F.coalesce(pattern_failure(r, s["label"], pattern), rule_failure(r, s["label"], value))
+
+    problem = F.get(F.array_compact(F.transform(s["f_rules"], failure)), F.lit(0))
     required_gone = _difference(
         "missing_field", s, "error", F.concat(F.lit("Required field "), quoted, F.lit(" has no value.")), field=True)
     optional_gone = _difference(
@@ -183,19 +228,20 @@ def score_table(n: Column) -> Column:
     )
 
 
-def _scored(n: Column) -> Column:
+def _scored(n: Column, matches: Column) -> Column:
     s = n["s"]
     return (
         F.when((s["classification"] == "FIXED") & (s["expected"] != ""), score_fixed(n))
         .when(s["classification"] == "REPEATABLE_TABLE", score_table(n))
-        .when(s["classification"].isin(*V.DYNAMIC), score_field(n))
+        .when(s["classification"].isin(*V.DYNAMIC), score_field(n, matches))
     )
 
 
 PAIR = (
     "struct<node_id:string,classification:string,status:string,severity:string,field_name:string,"
-    "template_text:string,document_text:string>"
+    "template_text:string,document_text:string,is_table:boolean,template_headers:array<string>,document_headers:array<string>>"
 )
+_NO_HEADERS = "array<string>"
 
 
 def _pair(n: Column) -> Column:
@@ -205,7 +251,7 @@ def _pair(n: Column) -> Column:
     ts = e["table_structure"]
     is_table = (cls == "REPEATABLE_TABLE")
     no_table = ts.isNull() | (e["type"] != "table")
-    value = F.coalesce(n["value"], F.lit(""))
+    value, none = F.coalesce(n["value"], F.lit("")), F.array().cast(_NO_HEADERS)
     status = (
         F.when(cls == "FIXED", F.when(e.isNull(), "missing").when(n["sim"] >= V.FIXED_MATCH, "match").otherwise("changed"))
         .when(is_table, F.when(no_table, "missing_table").when(n["sim"] >= V.HEADER_MATCH, "table").otherwise("table_changed"))
@@ -221,26 +267,34 @@ def _pair(n: Column) -> Column:
     return F.struct(
         s["node_id"].alias("node_id"), cls.alias("classification"), status.alias("status"), severity.alias("severity"),
         F.when(cls != "FIXED", s["name"]).alias("field_name"), F.when(~is_table, s["expected"]).otherwise("").alias("template_text"),
-        shown.alias("document_text"),
+        shown.alias("document_text"), is_table.alias("is_table"), F.when(is_table, F.coalesce(s["headers"], none)).otherwise(none).alias("template_headers"),
+        F.when(is_table & ~no_table, ts["headers"]).otherwise(none).alias("document_headers"),
     ).cast(PAIR)
 
 
 def _extra(tops: Column, pairs: Column, nodes: Column) -> Column:
-    """Document content no scored template node lines up with (tables have no
-    text of their own, so an extra table is not listed)."""
+    """Document content no scored template node lines up with (a table is listed
+    only where it has a text of its own), by one difference of index sets."""
     used = F.transform(
         F.filter(F.arrays_zip(pairs.alias("oj"), nodes.alias("n")),
                  lambda z: ~F.coalesce(z["n"]["s"]["classification"], F.lit("UNKNOWN")).isin("AUTO_FIELD", "UNKNOWN")),
         lambda z: z["oj"],
     )
-    loose = F.filter(tops, lambda e, i: ~F.array_contains(used, i) & ~X.is_blank(e["text"]))
-    return F.transform(
-        loose, lambda e: F.struct(
-            e["node_id"].alias("node_id"), F.lit(None).cast("string").alias("classification"), F.lit("extra").alias("status"),
-            F.lit("info").alias("severity"), F.lit(None).cast("string").alias("field_name"), F.lit("").alias("template_text"),
-            F.substring(X.strip(e["text"]), 1, 400).alias("document_text"),
-        ).cast(PAIR),
-    )
+    every = F.when(F.size(tops) > 0, F.sequence(F.lit(0), F.size(tops) - 1)).otherwise(F.array().cast("array<int>"))
+    loose = F.filter(F.transform(F.array_except(every, used), lambda i: F.get(tops, i)), lambda e: ~X.is_blank(e["text"]))
+    none, nothing = F.array().cast(_NO_HEADERS), F.lit(None).cast("string")
+
+    def row(e: Column) -> Column:
+        table = e["type"] == "table"
+        return F.struct(
+            e["node_id"].alias("node_id"), nothing.alias("classification"), F.lit("extra").alias("status"),
+            F.lit("info").alias("severity"), nothing.alias("field_name"), F.lit("").alias("template_text"),
+            F.when(table, "(table not in template)").otherwise(F.substring(X.strip(e["text"]), 1, 400)).alias("document_text"),
+            table.alias("is_table"), none.alias("template_headers"),
+            F.when(table, F.coalesce(e["table_structure"]["headers"], none)).otherwise(none).alias("document_headers"),
+        ).cast(PAIR)
+
+    return F.transform(loose, row)
 
 
 def _percent(satisfied: Column, total: Column) -> Column:
@@ -254,7 +308,7 @@ def check_compliance(documents: DataFrame, templates: DataFrame) -> DataFrame:
     missing_fields, alignment``.
     """
     compared = compare(documents, templates)
-    scored = compared.withColumn("_parts", F.array_compact(F.transform("nodes", _scored)))
+    scored = compared.withColumn("_parts", F.array_compact(F.transform("nodes", lambda n: _scored(n, F.col("matches")))))
 
     def total(dim: str | None, what: str) -> Column:
         parts = F.col("_parts") if dim is None else F.filter("_parts", lambda p: p["dimension"] == dim)
@@ -345,33 +399,65 @@ def fix_boilerplate(documents: DataFrame, templates: DataFrame) -> DataFrame:
     def is_par(e: Column) -> Column:
         return e.isNotNull() & (e["type"] != "table")
 
-    indexed = F.arrays_zip(F.col("nodes").alias("n"), F.col("pairs").alias("oj"))
-    # Anchor of a missing node: the last lined-up paragraph before it.
-    def insert(z: Column, i: Column) -> Column:
-        above = F.filter(F.slice(indexed, 1, i), lambda y: is_par(y["n"]["e"]))
-        anchor = F.try_element_at(F.transform(above, lambda y: y["oj"]), F.lit(-1))
-        lacks = is_fixed(z["n"]) & z["n"]["e"].isNull() & anchor.isNotNull()
-        return F.when(lacks, F.struct(anchor.alias("at"), i.alias("ri"), z["n"]["s"]["expected"].alias("text")))
-
-    inserts = F.array_compact(F.transform(indexed, insert))
-    changes = F.transform(
-        F.filter(indexed, lambda z: is_fixed(z["n"]) & is_par(z["n"]["e"]) & (z["n"]["sim"] < V.FIXED_MATCH)),
-        lambda z: F.struct(z["oj"].alias("at"), z["n"]["s"]["expected"].alias("text")),
-    )
+    indexed = F.arrays_zip(F.col("nodes").alias("n"), F.col("pairs").alias("oj"), F.col("anchors").alias("anchor"))
+    lacking = F.filter(indexed, lambda z: is_fixed(z["n"]) & z["n"]["e"].isNull() & (z["anchor"] >= 0))
+    inserts = F.transform(lacking, lambda z: F.struct(
+        z["anchor"].alias("at"), z["n"]["s"]["ri"].cast("int").alias("seq"), F.lit("paragraph").alias("type"),
+        z["n"]["s"]["expected"].alias("text")))
+    altered = F.filter(indexed, lambda z: is_fixed(z["n"]) & is_par(z["n"]["e"]) & (z["n"]["sim"] < V.FIXED_MATCH))
+    changes = F.transform(altered, lambda z: F.struct(
+        z["oj"].alias("at"), F.lit(-1).alias("seq"), z["n"]["e"]["type"].alias("type"), z["n"]["s"]["expected"].alias("text")))
     step = compared.withColumn("_inserts", inserts).withColumn("_changes", changes)
-
-    def patched(e: Column, i: Column) -> Column:
-        change = F.get(F.filter("_changes", lambda c: c["at"] == i), F.lit(0))
-        kept = F.struct(i.alias("at"), F.lit(-1).alias("seq"), e["type"].alias("type"), F.coalesce(change["text"], e["text"]).alias("text"))
-        new = F.transform(
-            F.filter("_inserts", lambda c: c["at"] == i),
-            lambda c: F.struct(i.alias("at"), c["ri"].alias("seq"), F.lit("paragraph").alias("type"), c["text"].alias("text")),
-        )
-        return F.concat(F.array(kept), new)
-
-    blocks = F.flatten(F.transform("tops", patched))
+    # What stays, what is replaced and what is put in, brought into order by one sort.
+    every = F.when(F.size("tops") > 0, F.sequence(F.lit(0), F.size("tops") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(
+        F.array_except(every, F.transform("_changes", lambda c: c["at"])),
+        lambda i: F.struct(i.alias("at"), F.lit(-1).alias("seq"), F.get("tops", i)["type"].alias("type"), F.get("tops", i)["text"].alias("text")))
+    blocks = F.array_sort(F.concat(kept, "_changes", "_inserts"))
     return step.select(
         "group_id", "doc_id", "doc_seq",
         F.transform(blocks, lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"))).alias("blocks"),
         (F.size("_inserts") + F.size("_changes")).alias("n_fixed"),
     )
+
+
+def candidate_templates(documents: DataFrame, templates: DataFrame, share: float = 0.5) -> DataFrame:
+    """``(group_id, doc_id, template_id, version, shared)``: the templates that have at
+    least ``share`` of their distinct signatures in common with a document.
+
+    ``templates(template_id, version, rep_sigs, ...)``.  An inverted index: a template
+    can only qualify through one of its rarest signatures (all but those that it may
+    miss), so only these are listed, and a layout meets the templates listed under its
+    own signatures, never all.  Common signatures are looked up last, in the row.
+    Work grows with distinct layouts, not with documents.
+    """
+    laid_out = with_layout(documents).select("group_id", "doc_id", "layout", "sigs", "doc_seq")
+    layouts = stage(layouts_of(laid_out).groupBy("layout").agg(F.first("sigs").alias("sigs")), "candidate-layouts")
+    held = stage(templates.select("template_id", "version", F.array_distinct("rep_sigs").alias("t_sigs")).withColumn(
+        "t_need", F.ceil(F.size("t_sigs") * F.lit(share)).cast("int")).where("size(t_sigs) > 0"), "candidate-templates")
+    each = held.select("template_id", "version", "t_need", F.size("t_sigs").alias("n"), F.explode("t_sigs").alias("sig"))
+    frequency = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("template_id", "version").orderBy("df", "sig"))
+    listed = each.join(frequency, "sig").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("t_need") + 1)
+    met = layouts.select("layout", F.explode(F.array_distinct("sigs")).alias("sig")).join(
+        listed.select("sig", "template_id", "version"), "sig").select("layout", "template_id", "version").distinct()
+    shared = F.size(F.array_intersect("sigs", "t_sigs"))
+    found = met.join(layouts, "layout").join(held, ["template_id", "version"]).withColumn("shared", shared).where("shared >= t_need")
+    found = stage(found.select("layout", "template_id", "version", "shared"), "candidates")
+    return laid_out.join(found, "layout").select("group_id", "doc_id", "template_id", "version", "shared")
+
+
+def check_assigned(documents: DataFrame, templates: DataFrame, assignments: DataFrame) -> DataFrame:
+    """The reports of :func:`check_compliance` for every assignment, with ``template_id``
+    and ``version`` beside ``group_id`` and ``doc_id``.
+
+    ``templates(template_id, version, rep_sigs, specs)``, ``assignments(group_id, doc_id,
+    template_id, version)``: a document may have none, one or several.  Each distinct
+    layout is aligned once with each template it is assigned to."""
+    key = F.to_json(F.struct(F.col("template_id").cast("string"), F.col("version").cast("string")))
+    keyed = templates.select(key.alias("group_id"), "rep_sigs", "specs")
+    due = assignments.select("group_id", "doc_id", "template_id", "version").distinct()
+    given = documents.join(due, ["group_id", "doc_id"]).withColumn("doc_id", F.struct("group_id", "doc_id", "template_id", "version"))
+    reports = check_compliance(given.withColumn("group_id", F.to_json(F.struct(
+        F.col("template_id").cast("string"), F.col("version").cast("string")))).drop("template_id", "version"), keyed)
+    return reports.select("doc_id.*", *[c for c in reports.columns if c not in ("group_id", "doc_id")])

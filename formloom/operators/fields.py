@@ -201,23 +201,68 @@ def derive_rules(fields: DataFrame) -> DataFrame:
     ).select(*_KEYS, "field_order", "rule_order", "field_name", "r.*")
 
 
+def _folded(overrides: DataFrame) -> DataFrame:
+    """One edit per node: any ``exclude`` wins; else the last ``include`` or ``promote``
+    by ``ord`` (by values where the edits carry none)."""
+    names = ("field_name", "field_type", "classification", "required")
+    ord_ = F.col("ord").cast("bigint") if "ord" in overrides.columns else F.lit(0).cast("bigint")
+    edit = F.struct(ord_.alias("ord"), "action", *names)
+    return overrides.groupBy("group_id", "node_id").agg(
+        F.bool_or(F.col("action") == "exclude").alias("out"),
+        F.max(F.when(F.col("action").isin("include", "promote"), edit)).alias("e"),
+    ).select("group_id", "node_id", "out", F.when(~F.col("out"), F.col("e")).alias("e"))
+
+
 def apply_overrides(classified: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Publish-time edits.  ``overrides(group_id, node_id, action, field_name,
-    field_type, classification, required)``: ``exclude`` -> FIXED, ``include`` ->
+    """Publish-time edits of classes.  ``overrides(group_id, node_id, action, field_name,
+    field_type, classification, required[, ord])``: ``exclude`` -> FIXED, ``include`` ->
     the edited field's values, ``promote`` -> a text field."""
-    o = overrides.select("group_id", "node_id", "action", *[F.col(c).alias("o_" + c) for c in ("field_name", "field_type", "classification", "required")])
-    j = classified.join(o, ["group_id", "node_id"], "left")
-    out = F.col("action") == "exclude"
-    inn = F.col("action").isin("include", "promote")
-    promoted = F.when(F.col("action") == "promote", F.coalesce("o_classification", F.lit("DYNAMIC_TEXT"))).otherwise(
-        F.coalesce("o_classification", "classification"))
-    return j.withColumn("classification", F.when(out, "FIXED").when(inn, promoted).otherwise(F.col("classification"))).withColumn(
-        "field_name", F.when(out, None).when(inn, F.coalesce("o_field_name", "field_name")).otherwise(F.col("field_name"))
-    ).withColumn(
-        "field_type", F.when(inn, F.coalesce("o_field_type", "field_type", F.lit("text"))).otherwise(F.col("field_type"))
-    ).withColumn(
-        "required", F.when(inn, F.coalesce("o_required", "required")).otherwise(F.col("required"))
-    ).select(*classified.columns)
+    j = classified.join(_folded(overrides), ["group_id", "node_id"], "left")
+    out, e = F.coalesce("out", F.lit(False)), F.col("e")
+    inn = e.isNotNull()
+    promoted = F.when(e["action"] == "promote", F.coalesce(e["classification"], F.lit("DYNAMIC_TEXT"))).otherwise(
+        F.coalesce(e["classification"], "classification"))
+    return j.withColumns({
+        "classification": F.when(out, "FIXED").when(inn, promoted).otherwise(F.col("classification")),
+        "field_name": F.when(out, None).when(inn, F.coalesce(e["field_name"], "field_name")).otherwise(F.col("field_name")),
+        "field_type": F.when(inn, F.coalesce(e["field_type"], "field_type", F.lit("text"))).otherwise(F.col("field_type")),
+        "required": F.when(inn, F.coalesce(e["required"], "required")).otherwise(F.col("required")),
+    }).select(*classified.columns)
+
+
+def edit_fields(fields: DataFrame, overrides: DataFrame, classified: DataFrame) -> DataFrame:
+    """The field list after the same edits: fields of excluded nodes go, included ones
+    take the edited name, type and required flag, promoted nodes become text fields of
+    their own behind the others, in document order.  A toggle or picture goes with its
+    node only where that node is excluded."""
+    edits = _folded(overrides)
+    owned = fields.select("group_id", "field_name", F.explode("node_ids").alias("node_id")).join(edits, ["group_id", "node_id"])
+    per = owned.groupBy("group_id", "field_name").agg(
+        F.bool_or("out").alias("out"), F.max_by("e", F.struct(F.col("e.ord"), "node_id")).alias("e"))
+    value = ~F.col("field_type").isin("boolean", "image")
+    kept = fields.join(per, ["group_id", "field_name"], "left").where(~F.coalesce("out", F.lit(False)))
+    e = F.when(value, F.col("e"))
+    name = F.coalesce(e["field_name"], "field_name")
+    kept = kept.withColumns({
+        "label": F.when(name != F.col("field_name"), X.label_from(name, F.lit(None).cast("string"))).otherwise(F.col("label")),
+        "field_type": F.coalesce(e["field_type"], "field_type"), "classification": F.coalesce(e["classification"], "classification"),
+        "required": F.coalesce(e["required"], "required"),
+    }).withColumn("field_name", name).select(*fields.columns)
+    new = edits.where("e.action = 'promote'").join(
+        fields.select("group_id", F.explode("node_ids").alias("node_id")), ["group_id", "node_id"], "left_anti"
+    ).join(classified.select("group_id", "doc_id", "node_id", "doc_order", "section_key"), ["group_id", "node_id"])
+    named = F.coalesce("e.field_name", "node_id")
+    given = {
+        "field_name": named, "label": X.label_from(named, F.lit(None).cast("string")), "field_type": F.coalesce("e.field_type", F.lit("text")),
+        "classification": F.coalesce("e.classification", F.lit("DYNAMIC_TEXT")), "description": F.lit(""),
+        "required": F.coalesce("e.required", F.lit(False)), "node_ids": F.array("node_id"), "confidence": F.lit(1.0),
+        "enum_values": F.array(), "columns": F.array(), "default": F.lit(None),
+    }
+    last = fields.groupBy("group_id").agg(F.max("field_order").alias("_last"))
+    at = F.row_number().over(Window.partitionBy("group_id").orderBy("doc_order"))
+    added = new.join(last, "group_id", "left").withColumn("field_order", F.coalesce("_last", F.lit(-1)) + at)
+    kinds = {f.name: f.dataType for f in fields.schema}
+    return kept.unionByName(added.select(*[given.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in fields.columns]))
 
 
 def merge_field_edits(classified: DataFrame, fields: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from formloom import vocabulary as V
 from formloom.functions import similarity as S
 from formloom.functions import text as X
+from formloom.session import stage
 
 
 def free_name(base: str, used: set[str]) -> str:
@@ -109,22 +110,30 @@ def field_keys(fields: DataFrame) -> DataFrame:
     )
 
 
-def closest_keys(residue: DataFrame, keys: DataFrame, threshold: float = V.NAME_MATCH) -> DataFrame:
-    """``(template_id, slug) -> near``: the best key at or above ``threshold``.
+def near_pairs(residue: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(template_id, slug, key, field_name, rank)`` that may reach ``threshold``.
 
     A ratio of at least t needs 2*min(la, lb)/(la+lb) >= t, so lengths must lie
     within a factor t/(2-t) of each other: candidates meet on equal length
-    buckets (each name probes the few lengths it could match), never all pairs.
-    """
+    buckets (each name probes the few lengths it could match), never all pairs.  Then
+    the letters that both hold must be enough of them."""
     ratio = threshold / (2 - threshold)
-    probe = residue.withColumn("n", F.length("slug")).withColumn(
+    probe = residue.withColumn("n", F.length("slug")).withColumn("a", S.letter_counts("slug")).withColumn(
         "len", F.explode(F.sequence(F.ceil(F.col("n") * ratio).cast("int"), F.floor(F.col("n") / ratio).cast("int")))
     )
-    by_len = keys.where(F.col("key") != "").withColumn("len", F.length("key"))
-    scored = probe.join(by_len, ["template_id", "len"]).withColumn(
-        "score", S.similarity("slug", "key")
-    ).where(F.col("score") >= threshold)
-    return scored.groupBy("template_id", "slug").agg(
+    by_len = keys.where(F.col("key") != "").withColumn("len", F.length("key")).withColumn("b", S.letter_counts("key"))
+    met = probe.join(by_len, ["template_id", "len"]).where(S.letters_bound(F.col("a"), F.col("b")) >= threshold)
+    return met.select("template_id", "slug", "key", "field_name", "rank")
+
+
+def closest_keys(residue: DataFrame, keys: DataFrame, threshold: float = V.NAME_MATCH) -> DataFrame:
+    """``(template_id, slug) -> near``: the best key at or above ``threshold``.
+
+    Filter and verify: only pairs that lengths and letters leave open are compared, each
+    pair of spellings once, whatever the number of templates that hold it."""
+    met = stage(near_pairs(residue, keys, threshold), "near-pairs")
+    scored = met.select("slug", "key").distinct().withColumn("score", S.similarity("slug", "key")).where(F.col("score") >= threshold)
+    return met.join(scored, ["slug", "key"]).groupBy("template_id", "slug").agg(
         F.min_by("field_name", F.struct((-F.col("score")).alias("s"), "rank")).alias("near")
     )
 

@@ -117,7 +117,10 @@ def validate(context: DataFrame, fields: DataFrame, rules: DataFrame) -> DataFra
     checked = packed.join(due, "template_id").select(
         "request_id", "template_id", F.flatten(F.transform("due", checks)).alias("checks"))
     pattern = F.transform("checks", lambda c: F.when(c["d"]["rule"]["rule_type"] == "regex", F.nullif(c["d"]["rule"]["params"]["pattern"], F.lit(""))))
-    matched = checked.withColumn("matches", _matched(pattern, F.transform("checks", lambda c: c["value"])))
+    # Values without a pattern, and requests without any, stay out of Python.
+    some = F.exists(pattern, lambda p: p.isNotNull())
+    matched = checked.withColumn("matches", pattern_matches(F.when(some, pattern), F.when(some, F.transform(
+        F.arrays_zip(F.col("checks").alias("c"), pattern.alias("p")), lambda z: F.when(z["p"].isNotNull(), z["c"]["value"])))))
     issues = F.flatten(F.transform("checks", lambda c, i: F.transform(
         _findings(c["d"]["rule"], c["d"]["label"], c["value"], c["rows"], F.get("matches", i)),
         lambda issue: F.struct(c["d"]["field_name"].alias("field_name"), c["d"]["rule_id"].alias("rule_id"), issue.alias("issue")))))
@@ -127,7 +130,6 @@ def validate(context: DataFrame, fields: DataFrame, rules: DataFrame) -> DataFra
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _matched(patterns: pd.Series, values: pd.Series) -> pd.Series:
-    """yes, no, or bad for a pattern that does not compile; null without a pattern."""
     def one(p: str | None, v: str | None) -> str | None:
         if p is None:
             return None
@@ -136,7 +138,22 @@ def _matched(patterns: pd.Series, values: pd.Series) -> pd.Series:
         except (re.error, RecursionError, OverflowError):
             return "bad"
 
-    return pd.Series([[one(p, v) for p, v in zip(ps, vs)] for ps, vs in zip(patterns, values)], dtype="object")
+    return pd.Series(
+        [None if ps is None else [one(p, v) for p, v in zip(ps, vs)] for ps, vs in zip(patterns, values)], dtype="object")
+
+
+def pattern_matches(patterns: Column, values: Column) -> Column:
+    """Whole-value matches of two ``ARRAY<STRING>`` columns: yes, no, or bad for a
+    pattern that does not compile; null without a pattern."""
+    return _matched(patterns, values)
+
+
+def pattern_failure(rule: Column, label: Column, match: Column) -> Column:
+    """The finding of a regex rule whose answer is ``match``, else null."""
+    quoted = F.concat(F.lit("'"), label, F.lit("'"))
+    return F.when(match == "bad", _issue(F.lit("error"), F.concat(F.lit("Rule pattern of "), quoted, F.lit(" cannot be read")))).when(
+        match == "no", _issue(rule["severity"], F.coalesce(
+            F.nullif(rule["message"], F.lit("")), F.concat(quoted, F.lit(" does not match the required format")))))
 
 
 def _findings(rule: Column, label: Column, value: Column, rows: Column, match: Column) -> Column:
@@ -149,9 +166,7 @@ def _findings(rule: Column, label: Column, value: Column, rows: Column, match: C
             rule["severity"], F.coalesce(F.nullif(rule["message"], F.lit("")), F.concat(quoted, F.lit(" is required"))),
             F.concat(F.lit("Provide a value for "), quoted, F.lit("."))))
         .when((kind == "required") | empty, None)
-        .when(match == "bad", _issue(F.lit("error"), F.concat(F.lit("Rule pattern of "), quoted, F.lit(" cannot be read"))))
-        .when(match == "no", _issue(rule["severity"], F.coalesce(
-            F.nullif(rule["message"], F.lit("")), F.concat(quoted, F.lit(" does not match the required format")))))
+        .when(match.isin("bad", "no"), pattern_failure(rule, label, match))
         .when((kind == "table_schema") & rows.isNull(), _issue(
             rule["severity"], F.concat(quoted, F.lit(" must be a list of rows")), "Provide rows as a list of objects."))
         .otherwise(rule_failure(rule, label, value))
