@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import hash60, n_words
+from formloom.llm.common import hash60, join_hot, n_words
 from formloom.session import stage
 
 HASH_BITS = 60
@@ -67,17 +67,21 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         "_left", F.col("target") - F.col("copies") * F.col("source_size")
     )
     # The boundary so far: every cell whose leading bits are below _path is taken.
-    bound = budget.select("source_key", "_left", F.lit(0).cast("bigint").alias("_path"))
+    bound = None
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
         keys = sizes.select(
             "source_key", F.shiftright("cell", shift + LEVEL_BITS).alias("_path"),
             F.shiftright("cell", shift).alias("_next"), "size",
         )
-        sums = (
-            keys.join(bound, ["source_key", "_path"])
-            .groupBy("source_key", "_next").agg(F.sum("size").alias("_sum"), F.first("_left").alias("_left"))
-        )
+        if bound is None:  # all rows count: summed task by task, then the sums meet the budgets
+            sums = keys.groupBy("source_key", "_next").agg(F.sum("size").alias("_sum")).join(
+                budget.select("source_key", "_left"), "source_key")
+        else:  # only rows of the boundary bucket, and no bucket holds many
+            sums = (
+                keys.join(bound, ["source_key", "_path"])
+                .groupBy("source_key", "_next").agg(F.sum("size").alias("_sum"), F.first("_left").alias("_left"))
+            )
         upto = Window.partitionBy("source_key").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
         run = sums.withColumn("_run", F.sum("_sum").over(upto)).where(F.col("_run") > F.col("_left"))
         edge = run.groupBy("source_key").agg(F.min_by(F.struct("_left", "_run", "_sum", "_next"), "_next").alias("e"))
@@ -99,7 +103,8 @@ def _cell(key: str) -> Column:
 def plan_mix(
     docs: DataFrame, *, key: str, text: str, source: str, weights: tuple[float, ...], cap: float
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows' sizes (key, source, source_key, size, cell) and the cuts of their sources."""
+    """The rows' sizes (key, source, source_key, size, cell) and the cuts of their sources,
+    with their numbers of rows (_rows)."""
     sizes = stage(
         docs.select(
             F.col(key).alias(key), _source_key(F.col(source)).alias("source_key"), F.col(source).alias("source"),
@@ -107,8 +112,10 @@ def plan_mix(
         ),
         "mix-sizes",
     )
-    totals = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    return sizes, thresholds(sizes, targets(totals, weights, cap))
+    totals = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    totals = stage(totals, "mix-totals")
+    cuts = thresholds(sizes, targets(totals, weights, cap))
+    return sizes, cuts.join(totals.select("source_key", "_rows"), "source_key")
 
 
 def _times() -> Column:
@@ -131,7 +138,7 @@ def mix_sizes(
     word take nothing; further columns are ignored.
     """
     sizes, cuts = plan_mix(docs, key=key, text=text, source=source, weights=weights, cap=cap)
-    return sizes.join(cuts, "source_key").select(
+    return join_hot(sizes, cuts, "source_key", "_rows").select(
         key, "source", "size", "source_size", "target", (F.col("size") * _times()).alias("taken")
     )
 
@@ -150,7 +157,7 @@ def mix(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _source_key(F.col(source)).alias("source_key"),
         _cell(key).alias("cell"),
     )
-    taken = rows.join(cuts, "source_key").withColumn("times", _times()).where("times > 0")
+    taken = join_hot(rows, cuts, "source_key", "_rows").withColumn("times", _times()).where("times > 0")
     taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth"))
     return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

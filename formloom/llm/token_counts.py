@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.llm.common import text_of
+from formloom.llm.common import join_hot, text_of
 from formloom.llm.tokenization import encoder
-from formloom.session import shared_dir
+from formloom.session import shared_dir, stage
 
 SCHEMA = "version string, digest binary, n_tokens bigint"
 
@@ -82,19 +82,21 @@ def count_tokens(
     cache = cache or f"{shared_dir(spark)}/token-counts/{uuid.uuid4().hex}"
     version = version_of(tokenizer)
     content = normalise(text_of(text))
-    keyed = docs.select(
-        F.col(key).alias(key), text_of(text).alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest")
-    )
+    texts = docs.select(text_of(text).alias("_text"), F.unhex(F.sha2(content, 256)).alias("digest"))
+    rows = stage(docs.select(
+        F.col(key).alias("_id"), F.octet_length(text_of(text)).cast("bigint").alias("n_bytes"),
+        F.unhex(F.sha2(content, 256)).alias("digest"),
+    ), "digests")
     known = _store(spark, cache).where(F.col("version") == version).select("digest")
     # Copies go before the shuffle, task by task, so a hot text travels once for each task.
-    misses = keyed.select("digest", normalise(F.col("_text")).alias("content")).dropDuplicates(["digest"])
+    misses = texts.select("digest", normalise(F.col("_text")).alias("content")).dropDuplicates(["digest"])
     misses = misses.join(known, "digest", "left_anti").withColumn("version", F.lit(version))
     misses.mapInPandas(_encode(tokenizer), SCHEMA).write.mode("append").parquet(cache)
     stored = (
         spark.read.schema(SCHEMA).parquet(cache).where(F.col("version") == version)
         .groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     )
-    rows = keyed.select(key, F.octet_length("_text").cast("bigint").alias("n_bytes"), "digest")
-    return rows.join(stored, "digest").select(
-        key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+    held = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows"))
+    return join_hot(rows, stored.join(held, "digest"), "digest", "_rows").select(
+        F.col("_id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
