@@ -7,40 +7,60 @@ Parquet to the session's shared folder and read again.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm import line_dedup, minhash, mixing, packing, toxicity
-from formloom.session import stage
+from formloom.session import shared_dir, stage, staging
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside their id and text, so that no column's name can
+    clash with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.train_chain(docs, labels, toxicity.label_categories())
-    judged = toxicity.classify(docs, chain, reject=["toxic"], keep=True)
-    return judged.where("not rejected").drop("rejected")
+    judged = toxicity.classify(_carried(docs), chain, reject=["toxic"], keep=True)
+    return judged.where("not rejected").select("_row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go; so do documents of which no word is left.
 
-    ``n_chars`` follows the text.  Documents that had no word before stay.
+    ``n_chars``, where there is one, follows the text.  Documents that had no word
+    before stay.
     """
     has_word = r"[^\x20\x09-\x0D]"
-    left = line_dedup.dedup_lines(docs, report=True)
+    left = line_dedup.dedup_lines(_carried(docs), report=True)
     emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(has_word), F.lit(False))
-    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return left.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
+    row = F.col("_row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.where(~emptied).select(row.alias("_row")).select("_row.*")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = minhash.near_duplicates(docs, shingle=5, part=80, whole=100)
-    # Ids of the documents to go; rows of one id share their fate.
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near-duplicates one row stays, that of the least id.
+
+    Rows are told apart by a number of their own, so repeated ids and null ones are
+    rows like any other.
+    """
+    rows = stage(_carried(docs).withColumn("_n", F.monotonically_increasing_id()), "numbered-documents")
+    found = minhash.near_duplicates(rows.select("_n", "text"), key="_n", shingle=5, part=80, whole=100)
+    grouped = found.where("_n <> component_id").select(F.col("component_id").alias("_group")).distinct()
+    members = found.join(grouped, F.col("component_id") == F.col("_group"), "left_semi").select("_n", "component_id")
+    members = stage(members.join(rows.select("_n", "doc_id"), "_n"), "group-members")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_n").alias("n"))
+    stays = members.groupBy("component_id").agg(F.min(rank).alias("r")).select(F.col("r.n").alias("_n"))
+    gone = members.select("_n").join(stays, "_n", "left_anti")
+    return rows.join(gone, "_n", "left_anti").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +89,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with staging(spark):  # what a stage sets aside goes when its result is written
+            path = f"{shared_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
+            step(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

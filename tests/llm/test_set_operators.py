@@ -352,3 +352,24 @@ def test_pipeline_against_its_parts(spark):
     pieces = pipeline.run(spark, sf_dir).collect()
     assert Counter(p.doc_id for p in pieces if p.piece == 0) == Counter({i: n for i, n in times.items() if n})
     assert sum(p.length for p in pieces) <= 1024 * len({p.sequence_id for p in pieces})
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Repeated, null and shared ids are rows like any other; clashing columns stay as they are."""
+    import corpus_pipeline as pipeline
+
+    from .helpers import with_clashes
+
+    words = [f"word{i}" for i in range(40)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    near = " ".join(words[:39] + ["changed"])
+    rows = [(5, text, "en", "a"), (5, text, "en", "a"), (None, near, "en", "a"), (None, other, "en", "a"), (7, other, "en", "b"),
+            (7, "a text of its own under the id of a copy", "en", "b"), (2**60 + 1, None, None, None), (2**60 + 3, "", None, None)]
+    d = with_clashes(docs(spark, rows)).withColumns({"n_lines": F.lit(1), "n_removed": F.lit(2), "_row": F.lit(3), "_n": F.lit(4)})
+    left = pipeline.dedup_documents(spark, d, "")
+    assert left.columns == d.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([
+        ("5", text), ("7", other), ("7", rows[5][1]), (str(2**60 + 1), None), (str(2**60 + 3), "")], key=lambda x: (x[0], x[1] or ""))
+    lines = pipeline.dedup_lines(spark, d.drop("n_chars"), "")
+    assert lines.columns == d.drop("n_chars").columns and {(r.n_lines, r.n_removed, r.rejected) for r in lines.collect()} == {(1, 2, 7)}
+    assert pipeline.dedup_documents(spark, d.limit(0), "").collect() == []
