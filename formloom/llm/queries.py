@@ -10,7 +10,6 @@ from formloom.llm import (
     html_extraction, line_dedup, merkle, minhash, mixing, packing, quality, sharding, token_counts, toxicity, turn_repair,
     url_filter, whitening,
 )
-from formloom.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +49,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The store outlives the run: what any run has counted is not encoded again.
+    # One lasting store for each corpus: what a run has counted, no later run encodes again.
     return token_counts.count_tokens(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
-        cache=f"{shared_dir(spark)}/token-counts/store", normalise=token_counts.collapsed, limit=2048,
+        cache=token_counts.store_of(spark, sf_dir), normalise=token_counts.collapsed, limit=2048,
     )
 
 

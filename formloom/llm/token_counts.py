@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm.common import join_hot, text_of
@@ -30,6 +30,11 @@ def version_of(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def store_of(spark: SparkSession, corpus: str) -> str:
+    """The folder of a corpus' lasting store, in shared storage."""
+    return f"{shared_dir(spark)}/token-counts/{hashlib.sha256(corpus.rstrip('/').encode()).hexdigest()[:16]}"
+
+
 def collapsed(text: Column) -> Column:
     """Runs of plain white space as one blank: the same count under tokenizers that
     drop white space."""

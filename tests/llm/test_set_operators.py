@@ -11,7 +11,6 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from formloom.session import shared_dir
 from formloom.llm import components, merkle, minhash, mixing, packing, sharding, token_counts, tokenization
 from formloom.llm.common import numbered
 from formloom.llm.queries import op3_bin_completion, op5_minhash_near_dedup, op8_token_counts, op9_merkle_prints, op10_feistel_shards
@@ -149,7 +148,7 @@ def test_count_query_and_cache(spark, tmp_path):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert got[i] == (len((t or "").encode()), n, n > 2048)
     # A second run of the query finds everything in the lasting store.
-    store = f"{shared_dir(spark)}/token-counts/store"
+    store = token_counts.store_of(spark, str(tmp_path / "t"))
     stored = spark.read.parquet(store).count()
     again = by_id(op8_token_counts(spark, str(tmp_path / "t")), "n_bytes", "n_tokens", "over_limit")
     assert again == got and spark.read.parquet(store).count() == stored
