@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom import vocabulary as V
 from formloom.functions import text as X
+from formloom.session import stage
 
 STUCK_MESSAGE = "Interrupted by a server restart."
 
@@ -120,13 +121,15 @@ def quota_snapshot(owners: DataFrame, configs: DataFrame, *, free_enabled: bool,
 
 
 # -- retention ---------------------------------------------------------------------
-def prune_plan(files: DataFrame, now: Column, max_age_days: int, cap_bytes: int, buckets: int = 256) -> DataFrame:
+def prune_plan(files: DataFrame, now: Column, max_age_days: int, cap_bytes: int) -> DataFrame:
     """Which files go: ``reason`` ``age`` (older than the limit; unknown times
-    stay), then ``size`` - oldest first until the rest fits under the cap.
+    stay), then ``size`` - oldest first, unknown times before all, until the rest fits
+    under the cap.  A file goes while more than the cap is left with it.
 
-    The running total is global, so it is built in two levels: bucket totals by
-    time range first, then a running sum inside each bucket; no task sees all
-    files.  Ties in time go by key.
+    The running total is global, so the files are dealt out by ranges of time and key:
+    the ranges' totals tell which go or stay as a whole, and only ranges that the cap
+    falls into are summed file by file.  No task sees more than its own range, however
+    many files share a time or have none.  Ties in time go by key.
     """
     mtime = F.coalesce("mtime", F.lit(0.0))
     aged = F.when(
@@ -136,27 +139,19 @@ def prune_plan(files: DataFrame, now: Column, max_age_days: int, cap_bytes: int,
     old = marked.where(F.col("reason") == "age").drop("_t")
     if not cap_bytes:
         return old
-    rest = marked.where(F.col("reason").isNull())
-    bounds = rest.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.sum("size").alias("total"))
-    slot = F.least(
-        F.floor((F.col("_t") - F.col("lo")) / F.greatest((F.col("hi") - F.col("lo")) / buckets, F.lit(1e-9))), F.lit(buckets - 1)
-    )
-    placed = rest.crossJoin(bounds).withColumn("_b", slot.cast("int"))  # bounds is one row
-    per = placed.groupBy("_b").agg(F.sum("size").alias("b_size"))
-    before_bucket = per.select(
-        "_b", F.coalesce(F.sum("b_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b_before")
-    )  # at most ``buckets`` rows
-    # Buckets wholly kept or wholly removed need no order; only the one bucket
-    # the cap falls into is sorted.
-    j = placed.join(before_bucket, "_b").join(per, "_b")
-    whole_gone = F.col("total") - (F.col("b_before") + F.col("b_size")) >= cap_bytes
-    none_gone = F.col("total") - F.col("b_before") <= cap_bytes
-    inside = j.where(~whole_gone & ~none_gone).withColumn(
-        "_before", F.coalesce(F.sum("size").over(
-            Window.partitionBy("_b").orderBy("_t", "key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).where(F.col("total") - F.col("b_before") - F.col("_before") > cap_bytes)
-    size_gone = j.where(whole_gone & ~none_gone).select(*files.columns).unionByName(inside.select(*files.columns))
-    return old.unionByName(size_gone.withColumn("reason", F.lit("size")))
+    rest = marked.where(F.col("reason").isNull()).drop("reason")
+    dealt = stage(rest.repartitionByRange("_t", "key").withColumn("_range", F.spark_partition_id()), "by-time")
+    per = dealt.groupBy("_range").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_size"))  # one row for each range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum("_size").over(Window.partitionBy()) - F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    per = per.select("_range", left.alias("_left"), (left - F.col("_size")).alias("_after"))
+    placed = dealt.join(F.broadcast(per), "_range").where(F.col("_left") > cap_bytes)
+    whole = placed.where(F.col("_after") > cap_bytes)
+    inside = Window.partitionBy("_range").orderBy("_t", "key").rowsBetween(Window.unboundedPreceding, -1)
+    some = placed.where(F.col("_after") <= cap_bytes).withColumn(
+        "_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).where(F.col("_left") - F.col("_before") > cap_bytes)
+    gone = whole.select(*files.columns).unionByName(some.select(*files.columns))
+    return old.unionByName(gone.withColumn("reason", F.lit("size")))
 
 
 # -- jobs, audit, accounts -----------------------------------------------------------
