@@ -23,7 +23,10 @@ def received_forms(spark, d):
     """The forms as they came back: depending on the order's month the terms are
     altered or gone, the date or the customer is unusable, the table is gone or
     has other columns.  Every order is in it."""
-    docs = C.forms(spark, d)
+    return received(C.forms(spark, d))
+
+
+def received(docs):
     month = F.substring(F.get("elements", F.lit(3))["text"], 18, 2)
 
     def damage(e):

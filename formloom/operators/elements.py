@@ -336,13 +336,17 @@ def source_blocks(documents: DataFrame) -> DataFrame:
     ).where(F.col("text").isNotNull())
 
 
-def content_hash(documents: DataFrame) -> DataFrame:
-    """``content_hash``: SHA-256 over ``type:text`` lines in walk order; equal
-    hashes are duplicate uploads."""
+def hash_of(elements: Column) -> Column:
+    """SHA-256 over the ``type:text`` lines of an element array in walk order."""
     joined = F.array_join(
         F.transform(
-            F.col("elements"),
+            elements,
             lambda e: F.concat(e["type"], F.lit(":"), F.coalesce(e["text"], F.lit("")), F.lit("\n")),
         ), "",
     )
-    return documents.select(*DOC_KEYS, F.sha2(joined, 256).alias("content_hash"))
+    return F.sha2(joined, 256)
+
+
+def content_hash(documents: DataFrame) -> DataFrame:
+    """``content_hash`` of each document; equal hashes are duplicate uploads."""
+    return documents.select(*DOC_KEYS, hash_of(F.col("elements")).alias("content_hash"))

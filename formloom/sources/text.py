@@ -9,8 +9,9 @@ from formloom.functions import text as X
 from formloom.operators.elements import element, numbered, table_structure
 
 
-def _documents(df: DataFrame, group_id: Column, doc_id: Column, doc_seq: Column, parts: Column) -> DataFrame:
+def _documents(df: DataFrame, group_id: Column, doc_id: Column, doc_seq: Column, parts: Column, keep: list[str] = ()) -> DataFrame:
     return df.select(
+        *keep,
         group_id.cast("string").alias("group_id"),
         doc_id.cast("string").alias("doc_id"),
         doc_seq.cast("bigint").alias("doc_seq"),
@@ -19,9 +20,9 @@ def _documents(df: DataFrame, group_id: Column, doc_id: Column, doc_seq: Column,
 
 
 # -- plain text ----------------------------------------------------------------
-def documents_from_text(df: DataFrame, *, group: str, key: str, text: str = "text") -> DataFrame:
+def documents_from_text(df: DataFrame, *, group: str, key: str, text: str = "text", keep: list[str] = ()) -> DataFrame:
     """One element per non-blank line: a short all-caps line is a heading, a
-    marked line a list item, the rest paragraphs."""
+    marked line a list item, the rest paragraphs.  Columns to ``keep`` go along."""
     def part(line: Column) -> Column:
         heading = X.is_upper(line) & (F.length(line) > 2) & (F.length(line) < 80)
         item = line.rlike(r"^(?:[-*•]|[0-9]+[.)])\s")
@@ -35,7 +36,7 @@ def documents_from_text(df: DataFrame, *, group: str, key: str, text: str = "tex
         )
 
     return _documents(
-        df, F.col(group), F.col(key), F.col(key), F.transform(X.lines(F.col(text)), part)
+        df, F.col(group), F.col(key), F.col(key), F.transform(X.lines(F.col(text)), part), keep
     )
 
 
