@@ -3,7 +3,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("signals", "documents", "templates", "routing", "compliance", "publishing", "rendering", "operations", "arrivals")
+FAMILIES = ("signals", "documents", "templates", "routing", "compliance", "publishing", "rendering", "operations", "arrivals", "answers")
 
 
 def collect(kind: str) -> dict:
