@@ -115,14 +115,18 @@ def near_pairs(residue: DataFrame, keys: DataFrame, threshold: float) -> DataFra
 
     A ratio of at least t needs 2*min(la, lb)/(la+lb) >= t, so lengths must lie
     within a factor t/(2-t) of each other: candidates meet on equal length
-    buckets (each name probes the few lengths it could match), never all pairs.  Then
+    buckets (each name probes the lengths it could match that occur), never all pairs.  Then
     the letters that both hold must be enough of them."""
     ratio = threshold / (2 - threshold)
-    probe = residue.withColumn("n", F.length("slug")).withColumn("a", S.letter_counts("slug")).withColumn(
-        "len", F.explode(F.sequence(F.ceil(F.col("n") * ratio).cast("int"), F.floor(F.col("n") / ratio).cast("int")))
-    )
     by_len = keys.where(F.col("key") != "").withColumn("len", F.length("key")).withColumn("b", S.letter_counts("key"))
-    met = probe.join(by_len, ["template_id", "len"]).where(S.letters_bound(F.col("a"), F.col("b")) >= threshold)
+    lengths = by_len.groupBy("template_id").agg(F.collect_set("len").alias("lens"))  # lengths of names, few
+    n = F.length("slug")
+    near = F.filter("lens", lambda x: x.between(F.ceil(n * ratio), F.floor(n / ratio)))
+    # Both sides grow with the data, and letter counts make rows far larger than Spark's
+    # estimate from the files: the joins by name here are merged, never broadcast.
+    probe = residue.join(lengths.hint("merge"), "template_id").select("template_id", "slug", F.explode(near).alias("len")).withColumn(
+        "a", S.letter_counts("slug"))
+    met = probe.join(by_len.hint("merge"), ["template_id", "len"]).where(S.letters_bound(F.col("a"), F.col("b")) >= threshold)
     return met.select("template_id", "slug", "key", "field_name", "rank")
 
 
@@ -133,7 +137,7 @@ def closest_keys(residue: DataFrame, keys: DataFrame, threshold: float = V.NAME_
     pair of spellings once, whatever the number of templates that hold it."""
     met = stage(near_pairs(residue, keys, threshold), "near-pairs")
     scored = met.select("slug", "key").distinct().withColumn("score", S.similarity("slug", "key")).where(F.col("score") >= threshold)
-    return met.join(scored, ["slug", "key"]).groupBy("template_id", "slug").agg(
+    return met.join(scored.hint("merge"), ["slug", "key"]).groupBy("template_id", "slug").agg(
         F.min_by("field_name", F.struct((-F.col("score")).alias("s"), "rank")).alias("near")
     )
 
@@ -150,7 +154,7 @@ def resolve_section_keys(fields: DataFrame, sections: DataFrame) -> DataFrame:
         F.max_by("section_key", F.struct("section_order", "i")).alias("by_slug")
     )
     f = fields.withColumn("slug", X.slug("field_name", "")).join(
-        exact.withColumnRenamed("key", "slug"), ["template_id", "slug"], "left"
+        exact.withColumnRenamed("key", "slug").hint("merge"), ["template_id", "slug"], "left"
     )
     # The closest step takes the earliest section on equal scores.
     first = named.groupBy("template_id", "key").agg(
@@ -159,7 +163,7 @@ def resolve_section_keys(fields: DataFrame, sections: DataFrame) -> DataFrame:
     )
     open_ = f.where(F.col("section_key").isNull() & F.col("by_slug").isNull()).select("template_id", "slug").distinct()
     near = closest_keys(open_, first, V.SECTION_NAME_MATCH)
-    found = f.join(near, ["template_id", "slug"], "left").withColumn(
+    found = f.join(near.hint("merge"), ["template_id", "slug"], "left").withColumn(
         "_key", F.coalesce("section_key", "by_slug", "near")
     )
     w = Window.partitionBy("template_id").orderBy("field_order").rowsBetween(Window.unboundedPreceding, 0)
