@@ -36,3 +36,21 @@ def test_representatives_are_chosen_without_signatures(spark):
     rows = nodes.orderBy("ri").collect()
     assert [(r.doc_seq, r.n_documents, r.ri) for r in rows] == [(2, 5, i) for i in range(10)]
     assert [r.table_structure.n_rows for r in rows if r.type == "table"] == [2]
+
+
+def test_judging_stages_no_alignments(spark, monkeypatch):
+    from catalog import compliance as CC
+
+    shape = ("group_id string, doc_id string, score double, dimensions array<struct<name:string,satisfied:double,total:double,score:double>>, "
+             "differences array<struct<kind:string,severity:string,message:string>>, alignment array<string>")
+    rows = [("g", "1", 50.0, [("structure", 1.0, 2.0, 50.0)], [("missing_fixed", "error", "Gone"), ("format", "warning", "Odd")], ["long"] * 9),
+            ("g", "2", 100.0, [("structure", 2.0, 2.0, 100.0)], [], ["long"] * 9)]
+    monkeypatch.setattr(CC, "_reports", lambda spark, d: spark.createDataFrame(rows, shape))
+    written = []
+    monkeypatch.setattr(CC, "stage", lambda df, name: written.append(df.columns) or df)
+    judged = {r.doc_id: r for r in CC.judged_compliance(spark, None).collect()}
+    assert (judged["1"].semantic, judged["1"].n_differences, judged["1"].severities) == (50.0, 2, "error")
+    assert (judged["2"].semantic, judged["2"].n_differences) == (None, 0)
+    twice = {r.doc_id: r for r in CC.twice_judged(spark, None).collect()}
+    assert (twice["1"].severity, twice["1"].folded, twice["2"].folded) == ("info", True, False)
+    assert len(written) == 2 and not any("alignment" in columns for columns in written)
