@@ -36,7 +36,7 @@ def ingested_texts(spark, d):
 def arriving_compliance(spark, d):
     """Received forms scored as their orders arrive."""
     place = _place(spark)
-    specs = CC.template_of_forms(spark, d)
+    specs = CC.published(C.staged_forms(spark, d))["specs"]
     orders = ST.arriving(spark, f"{d}/orders.parquet")
     docs = CC.received(S.order_forms(orders, C.table(spark, d, "customer"), C.table(spark, d, "lineitem")))
     ST.compliance_stream(docs, specs, f"{place}/reports", f"{place}/progress").awaitTermination()

@@ -54,3 +54,25 @@ def test_judging_stages_no_alignments(spark, monkeypatch):
     twice = {r.doc_id: r for r in CC.twice_judged(spark, None).collect()}
     assert (twice["1"].severity, twice["1"].folded, twice["2"].folded) == ("info", True, False)
     assert len(written) == 2 and not any("alignment" in columns for columns in written)
+
+
+def test_compliance_joins_the_order_tables_once(spark, monkeypatch, tmp_path):
+    """Templates and received forms come from the rows written once; nothing else reads the tables."""
+    from catalog import common as C
+    from catalog import compliance as CC
+
+    rows = {
+        "orders": ["id AS o_orderkey", "1L AS o_custkey", "'O' AS o_orderstatus", "10.0D * id AS o_totalprice",
+                   "'1-URGENT' AS o_orderpriority", "to_timestamp('1995-02-03') AS o_orderdate"],
+        "customer": ["id AS c_custkey", "concat('Customer#', id) AS c_name"],
+        "lineitem": ["id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "8L AS l_suppkey", "3.0D AS l_extendedprice",
+                     "4.0D AS l_quantity"],
+    }
+    for name, columns in rows.items():
+        spark.range(1, 7).selectExpr(*columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    read, table = [], C.table
+    monkeypatch.setattr(C, "table", lambda spark, d, name: read.append(name) or table(spark, d, name))
+    reports = CC._reports(spark, str(tmp_path))
+    assert sorted(read) == ["customer", "lineitem", "orders"]
+    assert not [f for f in reports.inputFiles() if str(tmp_path) in f]
+    assert reports.count() == 6
