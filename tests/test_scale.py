@@ -76,3 +76,27 @@ def test_compliance_joins_the_order_tables_once(spark, monkeypatch, tmp_path):
     assert sorted(read) == ["customer", "lineitem", "orders"]
     assert not [f for f in reports.inputFiles() if str(tmp_path) in f]
     assert reports.count() == 6
+
+
+def test_layouts_reach_python_as_text(spark):
+    """One string for a layout, and only the tables' positions for its anchors."""
+    from formloom.operators import align as A
+
+    layouts = spark.createDataFrame(
+        [("g", "a", ["p:x", "t:h", "p:y"], 1, 1), ("g", "b", ["t:h", "p:y"], 1, 2), ("g", "c", [], 1, 3)],
+        "group_id string, layout string, sigs array<string>, n_docs bigint, first_seq bigint")
+    reps = spark.createDataFrame([("g", ["p:x", "t:h", "p:y"])], "group_id string, rep_sigs array<string>")
+    found = A.layout_pairs(layouts, reps)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 2
+    assert {r.layout: (r.pairs, r.anchors) for r in found.collect()} == {
+        "a": ([0, 1, 2], [-1, 0, 0]), "b": ([-1, 0, 1], [-1, -1, -1]), "c": ([-1, -1, -1], [-1, -1, -1])}
+
+
+def test_words_are_no_dates(spark):
+    from formloom.functions import values as N
+
+    rows = spark.sql("SELECT * FROM VALUES ('n/a'), (''), ('soon'), ('1995-02-03'), ('Friday, 3 Feb 1995 10:30'), (null) AS t(x)")
+    told = rows.select(N.is_valid_date("x").alias("ok"))
+    assert ", [0-9])" in told._jdf.queryExecution().analyzed().toString()
+    assert [r.ok for r in told.collect()] == [False, False, False, True, True, False]
