@@ -100,3 +100,61 @@ def test_words_are_no_dates(spark):
     told = rows.select(N.is_valid_date("x").alias("ok"))
     assert ", [0-9])" in told._jdf.queryExecution().analyzed().toString()
     assert [r.ok for r in told.collect()] == [False, False, False, True, True, False]
+
+
+def _order_tables(spark, tmp_path):
+    rows = {
+        "orders": ["id AS o_orderkey", "1L AS o_custkey", "'O' AS o_orderstatus", "if(id % 2 = 0, 500000.0D, 10.0D) AS o_totalprice",
+                   "'1-URGENT' AS o_orderpriority", "make_timestamp(1995, int(id), 3, 0, 0, 0) AS o_orderdate"],
+        "customer": ["id AS c_custkey", "concat('Customer#', id) AS c_name"],
+        "lineitem": ["id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "8L AS l_suppkey", "3.0D AS l_extendedprice",
+                     "4.0D AS l_quantity"],
+    }
+    for name, columns in rows.items():
+        spark.range(1, 7).selectExpr(*columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_layouts_are_written_with_the_order_rows(spark, tmp_path):
+    """Signatures are made once, where the rows are written; changed forms have their own."""
+    from catalog import common as C
+    from catalog.compliance import received
+    from formloom.operators import align as A
+
+    docs, back = C.staged_forms_and(spark, _order_tables(spark, tmp_path), received)
+    for made, parts in ((docs, docs.drop(*A.LAYOUT)), (back, back.drop(*A.LAYOUT))):
+        layouts = A.layouts_of(A.with_layout(made))
+        assert "transform(" not in layouts._jdf.queryExecution().optimizedPlan().toString()
+        told = A.with_layout(parts).select("doc_id", *A.LAYOUT).collect()
+        assert sorted(told) == sorted(A.with_layout(made).select("doc_id", *A.LAYOUT).collect())
+    # February's terms and May's table are gone from the forms that came back.
+    assert {r.doc_id: len(r.sigs) for r in docs.collect()} == {"1": 10, "2": 11, "3": 10, "4": 11, "5": 10, "6": 11}
+    assert {r.doc_id: len(r.sigs) for r in back.collect()} == {"1": 10, "2": 10, "3": 10, "4": 11, "5": 9, "6": 11}
+    assert not set(A.LAYOUT) & set(received(docs).columns)
+
+
+def test_kinds_are_read_from_varying_parts_only(spark):
+    """One reading of a value's kind, and none of texts that are all the same."""
+    values = spark.createDataFrame(
+        [("g", 0, "Date: 1995-02-03", 2, -1), ("g", 0, "Date: soon", 1, 2), ("g", 1, "1995-02-03", 3, -1),
+         ("g", 2, "12", 1, -1), ("g", 2, "x", 1, 1), ("g", 2, "y", 1, 2)],
+        "group_id string, ri int, text string, n_docs bigint, rank bigint").selectExpr(
+        "*", "CAST(null AS string) header_key", "CAST(null AS bigint) grid_key", "CAST(null AS int) n_rows", "CAST(null AS string) image_hash")
+    nodes = spark.createDataFrame(
+        [("g", i, f"n{i}", "paragraph", 3, None, None) for i in range(3)],
+        "group_id string, ri int, node_id string, type string, n_documents bigint, image_ref string, table_structure struct<headers:array<string>>")
+    found = D._decide(values, nodes, 5)
+    assert {r.ri: r.detected_kind for r in found.collect()} == {0: "date", 1: None, 2: "text"}
+    dates = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if r"\d{1,4}" in line]
+    assert dates and not [line for line in dates if "after_kind" in line or "text_kind" in line]
+
+
+def test_report_rows_are_scored_once(spark):
+    """No filter on the list itself, which would score every document twice."""
+    from formloom.operators import compliance as K
+
+    reports = spark.sql("SELECT * FROM VALUES (1, 2), (2, 0), (3, null) AS t(doc_id, n)").select("doc_id", F.transform(
+        F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.concat(F.lit("k"), i.cast("string")).alias("kind"))).alias("differences"))
+    rows = K.rows_of(reports, "differences", "kind", "doc_id")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+    assert sorted((r.doc_id, r.kind) for r in rows.where("doc_id <> 2").collect()) == [(1, "k1"), (1, "k2")]
