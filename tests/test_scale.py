@@ -147,3 +147,35 @@ def test_kinds_are_read_from_varying_parts_only(spark):
     assert {r.ri: r.detected_kind for r in found.collect()} == {0: "date", 1: None, 2: "text"}
     dates = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if r"\d{1,4}" in line]
     assert dates and not [line for line in dates if "after_kind" in line or "text_kind" in line]
+
+
+def test_words_are_made_of_distinct_labels_only(spark, monkeypatch):
+    """Labels and lines are made distinct in a step of their own, so no filter on their words goes below it."""
+    from formloom.operators import routing as R
+
+    written = []
+    monkeypatch.setattr(R, "stage", lambda df, name: written.append((name, df)) or df)
+    fields = spark.createDataFrame([("t", "order_number", "Order Number", "", "number", 0), ("t", "note", "Goods seller", "", "text", 1)],
+                                   "template_id string, field_name string, label string, description string, field_type string, field_order int")
+    said = spark.createDataFrame([("t", "Order number", "the goods")] * 3 + [(None, "Note", "x")], "template_id string, label string, line string")
+    hits = {(r.label, r.field_name, r.score) for r in R.match_labels(said, fields).collect()}
+    fits = {(r.line, tuple(r.fits)) for r in R.match_prose(said, fields).collect()}
+    assert hits == {("Order number", "order_number", 2.0)} and fits == {("the goods", ("note",))}
+    assert [name for name, _ in written] == ["labels", "distinct-lines"]
+    assert all("regexp" not in df._jdf.queryExecution().optimizedPlan().toString() for _, df in written)
+
+
+def test_titles_search_for_capitals_only(spark):
+    from formloom.operators import classify as K
+    from formloom.schemas import ELEMENT_COLUMNS
+
+    shape = {"group_id": "string", "doc_id": "string", **ELEMENT_COLUMNS}
+    rows = [("a", 0, "paragraph", None, "plain"), ("a", 1, "paragraph", None, "MAIN TITLE"), ("b", 0, "table", None, "CAPITALS"),
+            ("b", 1, "heading", None, "first part"), ("c", 0, "paragraph", ["date"], "CAPITALS"), ("d", 0, "paragraph", ["all_caps"], "hinted"),
+            ("e", 0, "paragraph", None, None)]
+    given = [{"group_id": "g", "doc_id": k, "doc_order": i, "type": t, "semantic_hints": h, "text": x} for k, i, t, h, x in rows]
+    nodes = spark.createDataFrame([tuple(r.get(c) for c in shape) for r in given], ", ".join(f"{c} {t}" for c, t in shape.items()))
+    found = K.guess_doc_type(nodes)
+    assert {r.doc_id: r.document_type for r in found.collect()} == {
+        "a": "Main Title", "b": "First Part", "c": "Document", "d": "Hinted", "e": "Document"}
+    assert "@" not in found._jdf.queryExecution().optimizedPlan().toString().split("Scan")[0]  # the pattern of an address
