@@ -179,3 +179,44 @@ def test_titles_search_for_capitals_only(spark):
     assert {r.doc_id: r.document_type for r in found.collect()} == {
         "a": "Main Title", "b": "First Part", "c": "Document", "d": "Hinted", "e": "Document"}
     assert "@" not in found._jdf.queryExecution().optimizedPlan().toString().split("Scan")[0]  # the pattern of an address
+
+
+def test_plain_names_stay_out_of_python(spark):
+    """Equal names are numbered by Spark; Python sees rows whose names meet others, or many."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from formloom.operators import naming as N
+
+    draw, pool = random.Random(3), ["a", "a_2", "b", "", "field", None]
+    rows = [(i, [draw.choice(pool) for _ in range(draw.randint(0, 5))], draw.sample(["a", "a_2", "b_3", "z"], draw.randint(0, 2))) for i in range(80)]
+    rows += [(80, ["a"] * 40, []), (81, ["a", "a", "b"], ["c"]), (82, ["a", "b"], None)]
+    df = spark.createDataFrame(rows, "i int, b array<string>, t array<string>")
+    got = {r.i: r for r in N.with_names(df, F.col("b"), "n", F.col("t")).select(
+        "i", "n", N._numbered(F.col("b"), F.coalesce("t", F.array().cast("array<string>"))).alias("easy")).collect()}
+    for i, bases, taken in rows:
+        used, want = set(taken or []), []
+        for b in bases:
+            want.append(b if b is None else N.free_name(b, used))
+            used.add(want[-1])
+        assert got[i].n == want and got[i].easy in (None, want)
+    assert got[81].easy == ["a", "a_2", "b"] and got[82].easy == ["a", "b"] and got[80].easy is None
+
+
+def test_answers_and_nodes_meet_in_one_shuffle_by_document(spark):
+    from formloom.operators import responses as RS
+
+    shape = ("group_id string, doc_id string, answer_order int, node_id string, classification string, field_name string, "
+             "field_type string, description string, required boolean, confidence string, rationale string")
+    told = [("g", "1", 1, "n1", "DYNAMIC_TEXT", "Status", "text", None, None, "2", None), ("g", "1", 0, "n2", "ODD", "Status", "odd", "d", False, None, "r"),
+            ("g", "1", 2, "n1", "FIXED", "", None, None, None, None, None), ("g", "1", 3, "n9", "FIXED", "x", None, None, None, None, None),
+            (None, "2", 0, "n1", "FIXED", "x", None, None, None, None, None)]
+    nodes = spark.createDataFrame([("g", "1", "n1"), ("g", "1", "n2"), ("g", "1", "n3"), ("g", "1", "n3"), (None, "2", "n1")],
+                                  "group_id string, doc_id string, node_id string")
+    out = RS.merge_class_responses(spark.createDataFrame(told, shape), nodes)
+    silent = ("FIXED", None, None, "", False, 0.4, "not classified by model; defaulted to fixed")
+    assert sorted((r.doc_id, r.node_id, *r[3:]) for r in out.collect()) == sorted([
+        ("1", "n1", "DYNAMIC_TEXT", "status_2", "text", "", True, 1.0, ""), ("1", "n2", "UNKNOWN", "status", None, "d", False, 0.5, "r"),
+        ("1", "n3", *silent), ("1", "n3", *silent), ("2", "n1", *silent)])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
