@@ -1,13 +1,18 @@
 """Steps that must not read, build or broadcast whole tables more often than needed."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from formloom.operators import compliance as K
 from formloom.operators import diff as D
+from formloom.operators import fields as FD
 from formloom.plans.analyze import analyze
 from formloom.schemas import DOCUMENT_DDL
+from formloom.session import stage
 from formloom.sources import text as S
 
-from test_templates import reports
+from test_templates import el, reports
 
 
 def test_evidence_is_written_once_and_documents_are_left_alone(spark, tmp_path):
@@ -220,3 +225,66 @@ def test_answers_and_nodes_meet_in_one_shuffle_by_document(spark):
         ("1", "n1", "DYNAMIC_TEXT", "status_2", "text", "", True, 1.0, ""), ("1", "n2", "UNKNOWN", "status", None, "d", False, 0.5, "r"),
         ("1", "n3", *silent), ("1", "n3", *silent), ("2", "n1", *silent)])
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+_SPEC = ("array<struct<ri:int,node_id:string,type:string,expected:string,headers:array<string>,classification:string,name:string,required:boolean,"
+         f"static_prefix:string,has_field:boolean,label:string,field_type:string,f_rules:array<{FD.RULE}>,columns:array<string>,field_order:int,optional:boolean>>")
+
+
+def _held_against(spark):
+    """Two documents of one clause, and two templates: one holds the clause, one other words."""
+    docs = spark.createDataFrame(
+        [("g", d, i, [el(0, "paragraph", t)]) for i, (d, t) in enumerate([("a", "Clause: as agreed"), ("b", "Clause: altered")])], DOCUMENT_DDL)
+    spec = lambda text: [(0, "n1", "paragraph", text, None, "FIXED", "n1", False, None, False, "", None, [], None, None, False)]
+    held = [("g", 1, ["p:clause"], spec("Clause: as agreed")), ("h", 1, ["p:other"], spec("Other: words"))]
+    return docs, spark.createDataFrame(held, f"template_id string, version bigint, rep_sigs array<string>, specs {_SPEC}")
+
+
+def _fed_to_python(df):
+    """The columns of the rows that wait while Python works."""
+    todo, found = [df._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        plan = todo.pop()
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "ArrowEvalPython":
+            out = below[0].output()
+            found.append({out.apply(i).name(): out.apply(i).dataType().simpleString() for i in range(out.size())})
+        todo += below
+    return found
+
+
+def test_rows_that_wait_for_python_are_light(spark):
+    """They go to disk by the ten thousand, each with its specs and whole elements otherwise."""
+    docs, templates = _held_against(spark)
+    reports_ = K.check_compliance(docs, templates.where("template_id = 'g'").withColumnRenamed("template_id", "group_id").drop("version"))
+    fed = _fed_to_python(reports_)
+    assert fed and all(not {"specs", "nodes", "rep_sigs"} & set(names) for names in fed)
+    assert all("style_name" not in kind for names in fed for kind in names.values())
+    assert {r.doc_id: [x.kind for x in r.differences] for r in reports_.collect()} == {"a": [], "b": ["changed_fixed"]}
+
+
+def test_shuffle_files_go_with_the_stage(spark):
+    """Else they stay until the driver collects its garbage, on top of what is staged."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if "shuffle" in files.apply(i).getName()}
+
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    kept = spark.conf.get(key)
+    made = stage(spark.range(1000).repartition(3, "id"), "moved")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(key) == kept
+    assert made.count() == 1000
+
+
+def test_reports_are_made_once_for_their_rows(spark):
+    """Rows of an array: no filter on its size is put below what makes the array."""
+    made = spark.range(2).select(F.lit("g").alias("group_id"), F.col("id").cast("string").alias("doc_id"), F.from_json(
+        F.concat(F.lit('[{"status":"missing"},{"status":"match"},{"status":"'), F.col("id").cast("string"), F.lit('"}]')), f"array<{K.PAIR}>").alias("alignment"))
+    rows = K.actionable(made)
+    assert "size(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.status) for r in rows.collect()) == [("0", "missing"), ("1", "missing")]
