@@ -288,3 +288,14 @@ def test_reports_are_made_once_for_their_rows(spark):
     rows = K.actionable(made)
     assert "size(" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.doc_id, r.status) for r in rows.collect()) == [("0", "missing"), ("1", "missing")]
+
+
+def test_documents_of_a_layout_are_assigned_without_a_shuffle(spark):
+    docs, templates = _held_against(spark)
+    found = K.candidate_templates(docs, templates, by_layout=True)
+    assert [(r.group_id, r.template_id, r.version, r.shared) for r in found.collect()] == [("g", "g", 1, 1)]
+    told = K.check_assigned(docs, templates, found)
+    assert "hashpartitioning" not in told._jdf.queryExecution().executedPlan().toString()
+    by_doc = K.check_assigned(docs, templates, K.candidate_templates(docs, templates))
+    assert sorted(map(tuple, told.select("doc_id", "template_id", "version", "score").collect())) == sorted(
+        map(tuple, by_doc.select("doc_id", "template_id", "version", "score").collect())) == [("a", "g", 1, 100.0), ("b", "g", 1, 30.0)]
