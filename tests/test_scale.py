@@ -299,3 +299,22 @@ def test_documents_of_a_layout_are_assigned_without_a_shuffle(spark):
     by_doc = K.check_assigned(docs, templates, K.candidate_templates(docs, templates))
     assert sorted(map(tuple, told.select("doc_id", "template_id", "version", "score").collect())) == sorted(
         map(tuple, by_doc.select("doc_id", "template_id", "version", "score").collect())) == [("a", "g", 1, 100.0), ("b", "g", 1, 30.0)]
+
+
+def test_placements_are_made_of_the_staged_rows(spark, tmp_path, monkeypatch):
+    """The orders' values come from the rows written for the forms, not from another join."""
+    from catalog import rendering
+
+    place = str(tmp_path)
+    spark.createDataFrame([(1, 1, "O", 10.0, "1-URGENT")], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string").withColumn(
+        "o_orderdate", F.to_timestamp(F.lit("1995-02-03"))).write.parquet(f"{place}/orders.parquet")
+    spark.createDataFrame([(1, "Customer#1")], "c_custkey bigint, c_name string").write.parquet(f"{place}/customer.parquet")
+    spark.createDataFrame([(1, 1, 7, 8, 3.0, 4.0)], "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_quantity double").write.parquet(
+        f"{place}/lineitem.parquet")
+    monkeypatch.setattr(rendering, "published", lambda docs: dict.fromkeys(("blocks", "fields", "rules")))
+    monkeypatch.setattr(rendering.PG, "generate", lambda requests, placements, *a, **b: placements)
+    given = rendering._generation(spark, place)
+    assert not [f for f in given.inputFiles() if place in f]
+    assert {r.field_name: r.value or [dict(x) for x in r.rows] for r in given.collect()} == {
+        "order_number": "1", "customer_name": "Customer#1", "order_date": "1995-02-03", "status": "O", "total_due": "$10.00",
+        "include_orders_of_this_size_are": "no", "line_items": [{"part": "7", "quantity": "4", "price": "3.00"}]}
